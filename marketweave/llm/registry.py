@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketweave.llm import balltree, decontaminate, sharding, simhash, sp_encode, tokencount, warc
+from marketweave.llm import balltree, classlm, decontaminate, licenses, quality, sharding, simhash, sp_encode, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
     "op2_simhash": simhash.query,
+    "op3_class_lm": classlm.query,
+    "op4_licenses": licenses.query,
     "op5_topk": balltree.query,
     "op6_token_counts": tokencount.query,
     "op7_decontamination": decontaminate.query,
     "op8_sentencepiece": sp_encode.query,
+    "op9_quality": quality.query,
     "op10_warc": warc.query,
 }
 
