@@ -165,17 +165,20 @@ class Match(NamedTuple):
     end: int
 
 
-def _minima(values: np.ndarray, width: int) -> np.ndarray:
-    """MinHash of each of windows(len(values), width)."""
-    if width == 1:
-        return values
-    stride, n = width // 2, len(values)
-    blocks = np.minimum.reduceat(values, np.arange(0, n, stride), axis=0)
-    count = len(windows(n, width))
-    out = blocks[:count].copy()
-    for k in (1, 2):
-        more = blocks[k : k + count]
-        np.minimum(out[: len(more)], more, out=out[: len(more)])
+def _minima(values: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
+    """For each class, the MinHash of each of its windows; strides double, so blocks are halved step by step."""
+    out, blocks, stride, n = {}, values, 1, len(values)
+    for width in sorted(widths):
+        while stride < width // 2:
+            odd = blocks[len(blocks) & ~1 :]
+            blocks = np.concatenate([np.minimum(blocks[: len(blocks) & ~1 : 2], blocks[1::2]), odd])
+            stride *= 2
+        count = -(-max(1, n - stride) // stride)
+        low = blocks[:count].copy()
+        for k in (1, 2):
+            more = blocks[k : k + count]
+            np.minimum(low[: len(more)], more, out=low[: len(more)])
+        out[width] = low
     return out
 
 
@@ -190,15 +193,12 @@ def scan(text: bytes | None, prepared: list[Template], threshold: float = THRESH
         for block in range(0, len(hashes), BLOCK):
             # blocks begin on every class's grid and reach far enough for their last windows
             part = hashes[block : block + BLOCK + reach]
-            singles = {int(s) for t in group if t.width == 1 for s in t.signature[:1]}
-            values = minhash(part) if any(t.width > 1 for t in group) else None
-            minima = {}
+            wide = {t.width for t in group if t.width > 1}
+            minima = _minima(minhash(part), list(wide)) if wide else {}
             for t in group:
                 if t.width == 1:
-                    hit = np.flatnonzero(part * _ODD[0] + _ADD[0] == t.signature[0]) if singles else []
+                    hit = np.flatnonzero(part * _ODD[0] + _ADD[0] == t.signature[0])
                 else:
-                    if t.width not in minima:
-                        minima[t.width] = _minima(values, t.width)
                     hit = np.flatnonzero((minima[t.width] == t.signature).any(axis=1))
                 stride = max(1, t.width // 2)
                 for w in hit.tolist():
