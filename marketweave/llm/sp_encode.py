@@ -50,7 +50,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     packed = np.zeros_like(rank)
     for k in range(done):
         packed <<= width
-        packed[: len(rank) - k] |= rank[k:]
+        packed[: max(0, len(rank) - k)] |= rank[k:]
     order = np.argsort(packed)
     while True:
         sorted_ = packed[order]

@@ -30,7 +30,7 @@ def test_against_brute_force_with_odd_rows(spark, monkeypatch):
     rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(160)]
     same = [0.5, -0.25, 0.5, 1.0, 0.0, 0.25]
     rows += [(i, same) for i in range(160, 230)] + [(3, rows[3][1])]
-    rows += [(300, None), (305, [NAN] * 6), (310, [1.0, None, 0, 0, 0, 0]), (315, [INF] * 6), (None, same), (320, []), (325, [1.0, 2.0]), (326, [2.0, 2.0])]
+    rows += [(300, None), (305, [NAN] * 6), (310, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (315, [INF] * 6), (None, same), (320, []), (325, [1.0, 2.0]), (326, [2.0, 2.0])]
     monkeypatch.setattr(B, "QUERY_BLOCK", 7)
     assert run(spark, rows) == brute(rows, 5, 5)
 
