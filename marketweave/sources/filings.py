@@ -110,7 +110,7 @@ def filing_sections(filings: DataFrame, text: str = "text") -> DataFrame:
     """Rows (..., item, section): a filing's text cut at its item headings ("Item 1A.")."""
     cut = F.split(F.col(text), r"(?mi)^\s*(?=item\s+\d+[A-Z]?\.)")
     parts = filings.withColumn("section", F.explode(cut)).withColumn("item", F.upper(F.regexp_extract("section", r"(?i)^item\s+(\d+[A-Z]?)\.", 1)))
-    return parts.where("item <> ''").withColumn("section", F.trim(F.regexp_replace("section", r"(?i)^item\s+\d+[A-Z]?\.\s*", ""))).drop(text)
+    return parts.where("item <> ''").withColumn("section", F.regexp_replace("section", r"(?i)^item\s+\d+[A-Z]?\.\s*|\s+$", "")).drop(text)
 
 
 def latest_filing(filings: DataFrame, form: str = "10-K", by: str = "cik") -> DataFrame:
