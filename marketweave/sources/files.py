@@ -1,7 +1,10 @@
-"""Which of some paths exist, in any store Spark reaches."""
+"""Paths in any store Spark reaches: which exist, and scratch space that executors share."""
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
@@ -15,3 +18,25 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
         if path.getFileSystem(conf).exists(path):
             out.append(p)
     return out
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), removed at exit.
+
+    Only where the setting is absent (tests on one machine) is a temporary folder made.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="marketweave-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may already be gone; leftovers are only scratch files
+        pass
