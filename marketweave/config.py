@@ -84,5 +84,12 @@ class CoreConfig:
         return cls(**({f.name: lowered.get(f.name) for f in fields(cls)} | init))
 
 
-def setup_logging(level: str = "INFO") -> None:
-    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s %(message)s")
+def log_to_stderr(level: int | str = logging.INFO) -> logging.Logger:
+    """The engine's own logger, at a level; other loggers stay as they are."""
+    engine = logging.getLogger("marketweave")
+    engine.setLevel(level)
+    if not engine.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("{asctime} {levelname:<7} {name}: {message}", style="{"))
+        engine.addHandler(handler)
+    return engine

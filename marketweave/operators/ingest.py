@@ -157,7 +157,7 @@ class TableSink:
             df = dedupe(df, natural_key) if stored is None else insert_ignore(df, stored, natural_key)
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
-        logger.info("wrote %d rows to %s", seen.get["rows"], table)
+        logger.info("%s: %d rows appended", path, seen.get["rows"])
         return seen.get["rows"]
 
 
@@ -208,7 +208,7 @@ class LandingState:
     def get_watermarks(self, source: str) -> DataFrame:
         stored = read_or_none(self.spark, self.path) if self.path else None
         if stored is None:
-            logger.info("no watermarks for %s: first run", source)
+            logger.info("%s has no landing table yet", source)
             return self.spark.createDataFrame([], self.EMPTY)
         return watermarks(stored)
 
@@ -261,13 +261,14 @@ class BarPipeline:
     def run(self, symbols: Sequence[str], end: date | None = None) -> int:
         """Rows written."""
         run_date = datetime.now(UTC).date()
-        end, written = end or run_date, 0
+        end, written, batches = end or run_date, 0, 0
         for start, group in self.plan(symbols, end):
             for frame in self.source.fetch(FetchRequest(tuple(group), start, end, self.config.interval)):
                 stamped = stamp(frame, run_date, datetime.now(UTC))
                 written += self.sink.write(stamped, table=self.config.table, natural_key=list(self.source.schema.natural_key))
                 for r in watermarks(frame).collect():
                     self.state.set_watermark(self.SOURCE, r.symbol, r.max_date)
+                batches += 1
                 self.sleep(self.config.sleep_seconds)
-        logger.info("run complete: %d rows written", written)
+        logger.info("%s up to %s: %d batches, %d rows", self.config.table, end, batches, written)
         return written

@@ -38,7 +38,7 @@ class RecordSchema:
         Only the presence of columns is checked (no pass over the data); extra columns go.
         """
         if missing := self.missing(df):
-            raise SchemaMismatchError(f"{self.name}: missing columns {missing}")
+            raise SchemaMismatchError(f"the frame lacks {missing}, which {self.name} declares")
         return df.select(*(F.col(f"`{c}`") for c in self.columns()))
 
     def rename_attributes(self, df: DataFrame) -> DataFrame:
