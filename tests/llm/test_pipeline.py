@@ -5,10 +5,9 @@ import random
 import pytest
 import sentencepiece
 
+import corpus_pipeline as pipeline
 from marketweave.llm import bpe, decontaminate, quality, simhash
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
 
 def corpus():
     rnd = random.Random(11)
