@@ -70,7 +70,7 @@ def stream_landing(spark, d):
 @query(
     "stream_rolling",
     with_("minutes")
-    + "SELECT ticker, minute AS ts, close, round(avg(close) OVER w, 6) AS ma, count(*) OVER w AS n FROM minutes WINDOW w AS (PARTITION BY ticker ORDER BY minute ROWS 29 PRECEDING)",
+    + "SELECT ticker, minute AS ts, close, round(avg(close) OVER w + 1e-7, 6) AS ma, count(*) OVER w AS n FROM minutes WINDOW w AS (PARTITION BY ticker ORDER BY minute ROWS 29 PRECEDING)",
 )
 def stream_rolling(spark, d):
     """Stateful rolling features, held against batch windows."""

@@ -41,12 +41,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
-
-
-def means(df: DataFrame, *names: str) -> DataFrame:
-    """Means, rounded a little off the half: means of few short decimals often lie on it, and engines differ there."""
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Six places, rounded a little off the half: means of few short decimals often lie on it, and engines differ there."""
     return df.withColumns({n: F.round(F.col(n) + F.lit(1e-7), 6) for n in names})
 
 
@@ -61,20 +57,20 @@ def daily_ohlcv(spark, d):
 @query("ma_30_90", with_("technicals") + "SELECT ticker, day, close, round(ma_30d + 1e-7, 6) AS ma_30d, round(ma_90d + 1e-7, 6) AS ma_90d FROM technicals")
 def ma_30_90(spark, d):
     out = technicals.moving_average(technicals.moving_average(A.daily_bars(spark, d), 30), 90)
-    return means(out.select("ticker", "day", "close", "ma_30d", "ma_90d"), "ma_30d", "ma_90d")
+    return rounded(out.select("ticker", "day", "close", "ma_30d", "ma_90d"), "ma_30d", "ma_90d")
 
 
-@query("daily_return", with_("returns") + "SELECT ticker, day, round(daily_return, 6) AS daily_return FROM returns")
+@query("daily_return", with_("returns") + "SELECT ticker, day, round(daily_return + 1e-7, 6) AS daily_return FROM returns")
 def daily_return(spark, d):
     return rounded(technicals.daily_return(A.daily_bars(spark, d)).select("ticker", "day", "daily_return"), "daily_return")
 
 
-@query("vol_30d", with_("technicals") + "SELECT ticker, day, round(vol_30d, 6) AS vol_30d FROM technicals")
+@query("vol_30d", with_("technicals") + "SELECT ticker, day, round(vol_30d + 1e-7, 6) AS vol_30d FROM technicals")
 def vol_30d(spark, d):
     return rounded(technicals.technicals(A.daily_bars(spark, d)).select("ticker", "day", "vol_30d"), "vol_30d")
 
 
-@query("sharpe_30d", with_("technicals") + "SELECT ticker, day, round(sharpe_30d, 6) AS sharpe_30d FROM technicals")
+@query("sharpe_30d", with_("technicals") + "SELECT ticker, day, round(sharpe_30d + 1e-7, 6) AS sharpe_30d FROM technicals")
 def sharpe_30d(spark, d):
     return rounded(technicals.technicals(A.daily_bars(spark, d)).select("ticker", "day", "sharpe_30d"), "sharpe_30d")
 
@@ -94,7 +90,7 @@ def minute_to_daily(spark, d):
 
 @query(
     "forward_return",
-    with_("daily") + "SELECT ticker, day, round(lead(close, 1) OVER w / close - 1, 6) AS forward_return_1, round(lead(close, 5) OVER w / close - 1, 6) AS forward_return_5 FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY day)",
+    with_("daily") + "SELECT ticker, day, round(lead(close, 1) OVER w / close - 1 + 1e-7, 6) AS forward_return_1, round(lead(close, 5) OVER w / close - 1 + 1e-7, 6) AS forward_return_5 FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY day)",
 )
 def forward_return(spark, d):
     out = technicals.forward_return(A.daily_bars(spark, d)).select("ticker", "day", "forward_return_1", "forward_return_5")
@@ -155,12 +151,12 @@ def wide_to_tidy(spark, d):
 
 @query(
     "long_to_wide",
-    "SELECT l_shipdate::DATE AS date, 'T' || lpad((l_partkey % 25)::VARCHAR, 2, '0') AS symbol, round(avg(l_extendedprice), 4) AS \"Close\", round(avg(l_quantity), 4) AS \"Volume\" FROM lineitem GROUP BY 1, 2",
+    "SELECT l_shipdate::DATE AS date, 'T' || lpad((l_partkey % 25)::VARCHAR, 2, '0') AS symbol, round(avg(l_extendedprice) + 1e-7, 6) AS \"Close\", round(avg(l_quantity) + 1e-7, 6) AS \"Volume\" FROM lineitem GROUP BY 1, 2",
 )
 def long_to_wide(spark, d):
     t = A.trades(spark, d).select(F.col("day").alias("date"), F.col("ticker").alias("symbol"), F.col("price").alias("Close"), F.col("volume").alias("Volume"))
     long = t.unpivot(["date", "symbol"], ["Close", "Volume"], "field", "value")
-    return rounded(reshape.long_to_tidy(long, FIELDS), *FIELDS, places=4)
+    return rounded(reshape.long_to_tidy(long, FIELDS), *FIELDS)
 
 
 # --- incremental loading ----------------------------------------------------
@@ -437,12 +433,12 @@ def news_staged(spark, d):
 
 @query("sentiment_daily", with_("sent") + "SELECT ticker, day, round(mean_intensity + 1e-7, 6) AS mean_intensity, positive, negative, items FROM sent")
 def sentiment_daily(spark, d):
-    return means(sentiment.sentiment_daily(A.news(spark, d)).drop("intensity_sum"), "mean_intensity")
+    return rounded(sentiment.sentiment_daily(A.news(spark, d)).drop("intensity_sum"), "mean_intensity")
 
 
 @query(
     "sentiment_7d",
-    with_("sent") + "SELECT ticker, day, round(sum(intensity_sum) OVER w / sum(items) OVER w, 6) AS sentiment_7d, (sum(items) OVER w)::BIGINT AS news_count_7d FROM sent WINDOW w AS (PARTITION BY ticker ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)",
+    with_("sent") + "SELECT ticker, day, round(sum(intensity_sum) OVER w / sum(items) OVER w + 1e-7, 6) AS sentiment_7d, (sum(items) OVER w)::BIGINT AS news_count_7d FROM sent WINDOW w AS (PARTITION BY ticker ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)",
 )
 def sentiment_7d(spark, d):
     return rounded(sentiment.sentiment_trailing(sentiment.sentiment_daily(A.news(spark, d))), "sentiment_7d")
@@ -450,7 +446,7 @@ def sentiment_7d(spark, d):
 
 @query(
     "market_news",
-    with_("sent") + f"SELECT s.ticker, s.day, s.items, round(m.mean_intensity, 6) AS market_intensity, m.items AS market_items FROM sent s LEFT JOIN sent m ON m.ticker = '{C.MARKET_KEY}' AND m.day = s.day WHERE s.ticker <> '{C.MARKET_KEY}'",
+    with_("sent") + f"SELECT s.ticker, s.day, s.items, round(m.mean_intensity + 1e-7, 6) AS market_intensity, m.items AS market_items FROM sent s LEFT JOIN sent m ON m.ticker = '{C.MARKET_KEY}' AND m.day = s.day WHERE s.ticker <> '{C.MARKET_KEY}'",
 )
 def market_news(spark, d):
     daily = sentiment.sentiment_daily(A.news(spark, d))
@@ -473,7 +469,7 @@ _TECH = ("daily_return", "ma_30d", "ma_90d", "vol_30d", "sharpe_30d")
 )
 def mart_features(spark, d):
     out = marts.features(A.daily_bars(spark, d), A.edgar_facts(spark, d), A.news(spark, d))
-    return means(out.drop("open", "high", "low", "volume"), *_TECH, "mean_intensity")
+    return rounded(out.drop("open", "high", "low", "volume"), *_TECH, "mean_intensity")
 
 
 _NEWEST = "newest AS (SELECT * FROM grown QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC, base_form) = 1)"
@@ -495,12 +491,12 @@ def screener(spark: SparkSession, d: str) -> DataFrame:
     return marts.screener(A.daily_bars(spark, d), A.edgar_facts(spark, d), A.news(spark, d), A.company_meta(spark, d))
 
 
-@query("mart_screener", _mart_sql("SELECT * REPLACE (round(ma_30d, 6) AS ma_30d, round(ma_90d, 6) AS ma_90d, round(vol_30d, 6) AS vol_30d, round(sharpe_30d, 6) AS sharpe_30d, round(sentiment_7d, 6) AS sentiment_7d) FROM mart"))
+@query("mart_screener", _mart_sql("SELECT * REPLACE (round(ma_30d + 1e-7, 6) AS ma_30d, round(ma_90d + 1e-7, 6) AS ma_90d, round(vol_30d + 1e-7, 6) AS vol_30d, round(sharpe_30d + 1e-7, 6) AS sharpe_30d, round(sentiment_7d + 1e-7, 6) AS sentiment_7d) FROM mart"))
 def mart_screener(spark, d):
     return rounded(screener(spark, d).drop("cik"), "ma_30d", "ma_90d", "vol_30d", "sharpe_30d", "sentiment_7d")
 
 
-@query("mart_feature_summary", with_("technicals") + "SELECT ticker, day, round(ma_30d, 6) AS ma_30d, round(vol_30d, 6) AS vol_30d FROM technicals")
+@query("mart_feature_summary", with_("technicals") + "SELECT ticker, day, round(ma_30d + 1e-7, 6) AS ma_30d, round(vol_30d + 1e-7, 6) AS vol_30d FROM technicals")
 def mart_feature_summary(spark, d):
     store = technicals.technicals(A.daily_bars(spark, d))
     return rounded(marts.feature_summary(store, ["ma_30d", "vol_30d"]), "ma_30d", "vol_30d")
@@ -508,7 +504,7 @@ def mart_feature_summary(spark, d):
 
 @query(
     "training_frame",
-    with_("technicals") + "SELECT ticker, day, round(vol_30d, 6) AS vol_30d, round(lead(close, 5) OVER (PARTITION BY ticker ORDER BY day) / close - 1, 6) AS forward_return_5 FROM technicals QUALIFY lead(close, 5) OVER (PARTITION BY ticker ORDER BY day) IS NOT NULL",
+    with_("technicals") + "SELECT ticker, day, round(vol_30d + 1e-7, 6) AS vol_30d, round(lead(close, 5) OVER (PARTITION BY ticker ORDER BY day) / close - 1 + 1e-7, 6) AS forward_return_5 FROM technicals QUALIFY lead(close, 5) OVER (PARTITION BY ticker ORDER BY day) IS NOT NULL",
 )
 def training_frame(spark, d):
     store = technicals.technicals(A.daily_bars(spark, d))
@@ -562,7 +558,7 @@ def screen_small_profitable(spark, d):
     return screens.small_profitable(screener(spark, d), None)
 
 
-@query("top_sharpe", _mart_sql("SELECT ticker, round(sharpe_30d, 6) AS sharpe_30d FROM mart WHERE sharpe_30d IS NOT NULL ORDER BY mart.sharpe_30d DESC, ticker LIMIT 10"))
+@query("top_sharpe", _mart_sql("SELECT ticker, round(sharpe_30d + 1e-7, 6) AS sharpe_30d FROM mart WHERE sharpe_30d IS NOT NULL ORDER BY mart.sharpe_30d DESC, ticker LIMIT 10"))
 def top_sharpe(spark, d):
     return rounded(screens.top_sharpe(screener(spark, d)), "sharpe_30d")
 
@@ -575,7 +571,7 @@ def screen_margin(spark, d):
 @query(
     "peers",
     _mart_sql(
-        "SELECT ticker, company_name, period_end, eps_basic, revenue, net_income, price_to_earnings, market_cap, net_margin, latest_price, round(ma_30d, 6) AS ma_30d, round(ma_90d, 6) AS ma_90d, round(sharpe_30d, 6) AS sharpe_30d FROM mart WHERE ticker IN ('T01', 'T05', 'T09')"
+        "SELECT ticker, company_name, period_end, eps_basic, revenue, net_income, price_to_earnings, market_cap, net_margin, latest_price, round(ma_30d + 1e-7, 6) AS ma_30d, round(ma_90d + 1e-7, 6) AS ma_90d, round(sharpe_30d + 1e-7, 6) AS sharpe_30d FROM mart WHERE ticker IN ('T01', 'T05', 'T09')"
     ),
 )
 def peers(spark, d):
@@ -585,15 +581,15 @@ def peers(spark, d):
 @query(
     "negative_spikes",
     with_("sent", more=f"trail AS (SELECT ticker, day, negative, avg(negative) OVER (PARTITION BY ticker ORDER BY day RANGE BETWEEN INTERVAL 21 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS trailing_mean FROM sent WHERE ticker <> '{C.MARKET_KEY}')")
-    + f"SELECT ticker, day, negative, round(trailing_mean, 6) AS trailing_mean FROM trail WHERE day > DATE '{WEEK_END}' - 7 AND day <= DATE '{WEEK_END}' AND negative > 1.5 * trailing_mean",
+    + f"SELECT ticker, day, negative, round(trailing_mean + 1e-7, 6) AS trailing_mean FROM trail WHERE day > DATE '{WEEK_END}' - 7 AND day <= DATE '{WEEK_END}' AND negative > 1.5 * trailing_mean",
 )
 def negative_spikes(spark, d):
     return rounded(sentiment.negative_spikes(sentiment.sentiment_daily(A.news(spark, d)), WEEK_END), "trailing_mean")
 
 
-@query("sector_perf", _mart_sql("SELECT sector, count(*) AS tickers, round(avg(price_to_earnings), 6) AS avg_pe, round(avg(net_margin), 6) AS avg_margin, round(avg(sharpe_30d), 6) AS avg_sharpe, round(sum(market_cap), 0) AS total_cap FROM mart GROUP BY 1"))
+@query("sector_perf", _mart_sql("SELECT sector, count(*) AS tickers, round(avg(price_to_earnings) + 1e-7, 6) AS avg_pe, round(avg(net_margin) + 1e-7, 6) AS avg_margin, round(avg(sharpe_30d) + 1e-7, 6) AS avg_sharpe, round(sum(market_cap), 0) AS total_cap FROM mart GROUP BY 1"))
 def sector_perf(spark, d):
-    return rounded(rounded(screens.sector_performance(screener(spark, d)), "avg_pe", "avg_margin", "avg_sharpe"), "total_cap", places=0)
+    return rounded(screens.sector_performance(screener(spark, d)), "avg_pe", "avg_margin", "avg_sharpe").withColumn("total_cap", F.round("total_cap", 0))
 
 
 @query(
