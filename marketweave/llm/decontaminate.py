@@ -194,20 +194,20 @@ class Detector:
             yield Detector.built[key]
 
     def reports(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set, int]]:
-        """(words, hit spans, items, longest match) of each text."""
-        words = [words_of(t) for t in texts]
-        out: list[tuple] = [(len(w), [], set(), 0) for w in words]
+        """(words, hit spans, items, longest match) of each text; one text's words are held at a time."""
+        out: list[tuple] = [(-1, [], set(), 0)] * len(texts)
         for machine in self.automata():
-            for k, w in enumerate(words):
-                spans, found, longest = machine.hits(w)
-                n, before, items, most = out[k]
+            for k, text in enumerate(texts):
+                words = words_of(text)
+                spans, found, longest = machine.hits(words)
+                _, before, items, most = out[k]
                 if spans and before:
                     joined: list[list[int]] = []
                     for a, b in sorted([*before, *spans], key=lambda s: s[1]):
                         _add(joined, a, b)
                     spans = [(a, b) for a, b in joined]
-                out[k] = (n, spans or before, items | found, max(most, longest))
-        return out
+                out[k] = (len(words), spans or before, items | found, max(most, longest))
+        return [o if o[0] >= 0 else (len(words_of(t)), *o[1:]) for o, t in zip(out, texts)]
 
 
 def _verdict(n: int, spans: list[tuple[int, int]], share: int) -> tuple[int, bool]:
