@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -17,16 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, as a full URI.
 
     Only where the setting is absent (tests on one machine) is a temporary folder made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="marketweave-")
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marketweave-"))
         base = spark.sparkContext.getCheckpointDir()
-    return base if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString()
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
