@@ -15,7 +15,8 @@ text, but for U+2581, which the model writes as a space.
 
 Defined cases: null texts encode as null ids with 0 tokens and decode to null; empty
 texts as an empty list; repeated rows each get a row; null ids are kept; columns other
-than id and text are not read. Memory is bounded by the batch and by MAX_KNOWN chunks.
+than id and text are not read. Memory is bounded by the batch, and by MAX_KNOWN chunks,
+MAX_PAIRS pairs and HELD_WORDS words that a worker keeps.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +34,52 @@ from pyspark.sql import functions as F
 from marketweave.llm.bpe import Vocabulary, default_model, vocabulary
 from marketweave.llm.common import table
 
-MAX_KNOWN = 250_000
-INDEX_CHARS = 1_000_000
+MAX_KNOWN = 120_000
+MAX_PAIRS = 300_000
+INDEX_CHARS = 200_000
+HELD_WORDS = 200_000
 ROWS_OUT = 512
 _END = 0x110000
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of codes, their suffixes sorted by at least ``depth`` leading codes.
+class Index(NamedTuple):
+    """A suffix array, with the leading ``packed`` codes of each suffix as one sorted number."""
+
+    codes: np.ndarray
+    order: np.ndarray
+    letters: np.ndarray
+    width: int
+    packed: int
+    keys: np.ndarray
+
+    def key(self, letters: np.ndarray) -> np.ndarray:
+        """Numbers of rows of letter ranks (0: none), as far as they are packed."""
+        out = np.zeros(len(letters), np.int64)
+        for d in range(self.packed):
+            out = (out << self.width) | (letters[:, d] if d < letters.shape[1] else 0)
+        return out
+
+
+def suffix_array(codes: np.ndarray, depth: int) -> Index:
+    """Suffixes sorted by at least ``depth`` leading codes.
 
     The first round packs as many codes as a word holds; then prefix doubling.
     """
     letters = np.unique(codes)
     rank = (np.searchsorted(letters, codes) + 1).astype(np.int64)
     width = int(len(letters) + 1).bit_length()
-    done = max(1, min(depth, 62 // width))
+    first = done = max(1, min(depth, 62 // width))
     packed = np.zeros_like(rank)
     for k in range(done):
         packed <<= width
         packed[: max(0, len(rank) - k)] |= rank[k:]
-    order = np.argsort(packed)
+    leading, order = packed, np.argsort(packed)
     while True:
-        sorted_ = packed[order]
-        rank = np.empty_like(packed)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+        ordered = packed[order]
         if done >= depth:
-            return order
+            return Index(codes, order, letters, width, first, leading[order])
+        rank = np.empty_like(packed)
+        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         after = np.zeros_like(rank)
         after[: max(0, len(rank) - done)] = rank[done:] + 1
         packed = rank * (len(codes) + 2) + after
@@ -77,11 +99,23 @@ class Encoder:
         self.by_id = dict(zip(self.ids.tolist(), names))
         self.pair: dict[int, bool] = {}
 
-    def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece, the range of the suffix array whose suffixes begin with it."""
-        low, high = np.zeros(len(self.names), np.int64), np.full(len(self.names), len(order))
-        padded = np.concatenate([codes, np.full(self.vocab.longest + 1, _END)])
-        for d in range(self.vocab.longest):
+    def ranges(self, index: Index) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece, the range of the suffix array whose suffixes begin with it.
+
+        The packed leading codes settle most pieces at once; the longer ones are then searched
+        a character deeper each time.
+        """
+        order, n = index.order, index.packed
+        places = np.minimum(np.searchsorted(index.letters, self.codes), len(index.letters) - 1)
+        ranks = np.where(index.letters[places] == self.codes, places + 1, 0)
+        inside = np.arange(self.codes.shape[1]) < self.lengths[:, None]
+        possible = ((ranks > 0) | ~inside).all(axis=1)
+        least = index.key(np.where(inside, ranks, 0))
+        beyond = least + (np.int64(1) << (index.width * np.maximum(n - self.lengths, 0)))
+        low, high = np.searchsorted(index.keys, least), np.searchsorted(index.keys, beyond)
+        high = np.where(possible, high, low)
+        padded = np.concatenate([index.codes, np.full(self.vocab.longest + 1, _END)])
+        for d in range(n, self.vocab.longest):
             live = np.flatnonzero((self.lengths > d) & (low < high))
             want = self.codes[live, d]
             edges = []
@@ -100,7 +134,7 @@ class Encoder:
         """For codes (last piece + 1) * (size + 1) + piece: whether the piece may follow."""
         distinct, back = np.unique(codes, return_inverse=True)
         known, out = self.pair, np.empty(len(distinct), bool)
-        if len(known) > 2_000_000:
+        if len(known) > MAX_PAIRS:
             known.clear()
         for k, code in enumerate(distinct.tolist()):
             ok = known.get(code)
@@ -117,30 +151,31 @@ class Encoder:
         sizes = np.array([len(c) for c in chunks], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         codes[starts + sizes] = _END
-        order = suffix_array(codes, self.vocab.longest)
-        low, high = self.ranges(codes, order)
+        index = suffix_array(codes, self.vocab.longest)
+        low, high = self.ranges(index)
         count = np.maximum(high - low, 0)
-        index = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        start, piece, length = order[index], np.repeat(self.ids, count), np.repeat(self.lengths, count)
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        start, piece, length = index.order[at].astype(np.int32), np.repeat(self.ids.astype(np.int32), count), np.repeat(self.lengths.astype(np.int32), count)
+        del at, index
         covered = np.zeros(len(codes), bool)
         covered[start[length == 1]] = True
-        bare = np.flatnonzero(~covered & (codes != _END))
+        bare = np.flatnonzero(~covered & (codes != _END)).astype(np.int32)
         unknown = self.vocab.size
         start = np.concatenate([start, bare])
-        piece = np.concatenate([piece, np.full(len(bare), unknown)])
-        end = start + np.concatenate([length, np.ones(len(bare), np.int64)])
-        origin = np.repeat(starts, sizes + 1)
+        piece = np.concatenate([piece, np.full(len(bare), unknown, np.int32)])
+        end = start + np.concatenate([length, np.ones(len(bare), np.int32)])
+        origin = np.repeat(starts, sizes + 1).astype(np.int32)
         offset = end - origin[start]
         by = np.argsort(offset.astype(np.uint16) if offset.max(initial=0) < 1 << 16 else offset, kind="stable")
         start, piece, end, offset = start[by], piece[by], end[by], offset[by]
         # last[i]: piece that ends at i in the output up to i; -1: nothing that matters before i
-        last, came = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
+        last, came = np.full(len(codes) + 1, -1, np.int32), np.zeros(len(codes) + 1, np.int32)
         cuts = np.flatnonzero(np.diff(offset, prepend=0)).tolist() + [len(offset)]
         for a, b in zip(cuts, cuts[1:]):
             s, p, e = start[a:b], piece[a:b], end[a:b]
             ok = p == unknown
             part = ~ok
-            ok[part] = self._fits((last[s[part]] + 1) * (self.vocab.size + 1) + p[part])
+            ok[part] = self._fits((last[s[part]].astype(np.int64) + 1) * (self.vocab.size + 1) + p[part])
             last[e[ok]], came[e[ok]] = np.where(p[ok] == unknown, -1, p[ok]), s[ok]
         last_, came_ = last.tolist(), came.tolist()
         for chunk, s, n in zip(chunks, starts.tolist(), sizes.tolist()):
@@ -157,17 +192,18 @@ class Encoder:
         """Ids of each text; chunks that are new are indexed for several texts at once."""
         held: list[list[str] | None] = []
         new: dict[str, None] = {}
-        chars = 0
+        chars = words = 0
         for text in texts:
             parts = None if text is None else self.vocab.chunks(text)
             held.append(parts)
+            words += len(parts or ())
             for c in parts or ():
                 if c not in self.known and c not in new:
                     new[c] = None
                     chars += len(c) + 1
-            if chars >= INDEX_CHARS:
+            if chars >= INDEX_CHARS or words >= HELD_WORDS:
                 yield from self._flush(held, new)
-                held, new, chars = [], {}, 0
+                held, new, chars, words = [], {}, 0, 0
                 if len(self.known) > MAX_KNOWN:
                     self.known.clear()
         yield from self._flush(held, new)
@@ -202,9 +238,9 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for whole in batches:
-            coded = coder.encode_batch(whole.column(1).to_pylist())
-            for at in range(0, whole.num_rows, ROWS_OUT):
-                batch = whole.slice(at, ROWS_OUT)
+            slices = [whole.slice(at, ROWS_OUT) for at in range(0, whole.num_rows, ROWS_OUT)]
+            coded = coder.encode_batch(t for batch in slices for t in batch.column(1).to_pylist())
+            for batch in slices:
                 ids, same = [], []
                 for t in batch.column(1).to_pylist():
                     found = next(coded)
