@@ -104,8 +104,8 @@ class Best:
             if floor is None or s >= floor:
                 rows += [(-int(s), i) for i in same if i != own]
         if len(rows) >= self.k:
-            rows.sort()
-            del rows[self.k :]
+            rows[:] = sorted(set(rows))[: self.k]  # a row repeated in another shard takes no second place
+        if len(rows) >= self.k:
             kth = -rows[-1][0]
             if floor is None or kth > floor:
                 self.floor[q] = kth
@@ -192,11 +192,13 @@ def _distinct(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def _floors(own: np.ndarray, queries: np.ndarray, k: int) -> list:
     """kth scores of each query among the block's other ids: a first bound to share."""
-    out = []
+    out, repeated = [], len(np.unique(own)) < len(own)
     for a in range(0, len(queries), 512):
         scores = _products(queries[a : a + 512], queries)
         for i, line in enumerate(scores):
             others = np.array(line[own != own[a + i]])
+            if repeated:  # an id counts once for each score, as in the result
+                others = np.array([s for s, _ in set(zip(others.tolist(), own[own != own[a + i]].tolist()))])
             out.append(int(np.sort(others)[-k]) if len(others) >= k else None)
     return out
 

@@ -35,6 +35,22 @@ def test_against_brute_force_with_odd_rows(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 5, 5)
 
 
+def test_rows_repeated_across_shards_of_a_task_take_one_place(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(1, 60)] + [(0, [1.0, 1.0, 1.0, 1.0])]
+    top = [(100 + i, [9.0 + i, 9.0, 9.0, 9.0]) for i in range(3)]
+    rows = top + rows[:30] + top + rows[30:] + top
+    monkeypatch.setattr(B, "SHARD_ROWS", 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(tuple(r) for r in B.top_k(df, df.where("vec_id % 60 = 0"), 5).collect())
+    assert got == brute(rows, 60, 5)
+
+
+def test_an_id_with_two_vectors_of_one_score_takes_one_place():
+    own, points = np.array([0, 1, 1, 2, 3]), np.array([[1.0, 0.0], [9.0, 1.0], [9.0, 2.0], [8.0, 0.0], [7.0, 0.0]])
+    assert B._floors(own, points, 2)[0] == 8
+
+
 def test_fewer_than_k_and_empty(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5])]
     assert run(spark, rows, 1) == brute(rows, 1, 5)
