@@ -3,23 +3,31 @@
 The model: P(word | previous) = P(class | previous class) * P(word | class).
 
 Counting covers all training texts. The counts of all words are a table in the shared
-folder. Units are what gets a class: each of the UNITS most frequent words by itself, and
-every other word through the bin of its ending (a fixed hash of its last bytes), so any
-word has a unit without a lookup that grows. Unit bigrams are counted in every training
-text and summed; their matrix has a fixed size. Exchange clustering on it then moves
-one unit after another to the class that most raises the class-bigram likelihood, until
-no move helps or SWEEPS are over.
+folder. Classes come in two steps:
+
+* Seeds. Each of the UNITS most frequent words is a unit by itself, and every other word
+  stands in the bin of its ending (a fixed hash of its last bytes). Unit bigrams are counted in
+  every training text; exchange clustering on their matrix, which has a fixed size, moves
+  one unit after another to the class that most raises the class-bigram likelihood, until
+  no move helps or SWEEPS are over.
+* All other training words, each by itself. The classes before and after every occurrence are
+  summed by word in Spark, and each word moves to the class under which these
+  neighbours and the word itself are likeliest, the seeds' class bigrams being held fixed: one block
+  of distributed exchange moves. The table of classes has a row for every such word, so it grows
+  with the corpus. Only words unseen in training keep the class of their ending.
+
+The class bigrams of the model are then counted anew over all training texts.
 
 Smoothing: class transitions are interpolated with the class frequencies (weight
 PRIOR); within each class every word's count is discounted by DISCOUNT, and the mass
 set free is the chance of an unknown word. The end of a text is a class of its own and the
 context of the first word.
 
-Scoring is one pass over all texts with a broadcast of fixed size: the HEAD most frequent
-words (of at most WORD_BYTES bytes) with their counts. It settles all transitions and the head's
-emissions. Words outside the head, summed by text, are joined with the table of counts
-(a shuffle by word; none of these words is frequent in training, and Spark splits a
-partition that a word outside training makes large) and added up by text.
+Texts are coded as a class for each word in one pass with a broadcast of fixed size: the HEAD
+most frequent words (of at most WORD_BYTES bytes) with their counts and classes. Words outside the
+head are joined with the table of classes (a shuffle by word; none of these words
+is frequent in training, and Spark splits a partition that a word outside training makes
+large) and put in their places by text. Bigrams and scores are read off the codes.
 
 Defined cases: null and empty texts are one end token; repeated rows each get a row; a
 null doc_id is hashed as the empty text for its fold; without training texts every token
@@ -30,8 +38,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -57,14 +66,16 @@ HEAD = 262_144
 WORD_BYTES = 64
 FLUSH = 250_000
 CODES = 1 << 20
+UNKNOWN = 64  # flag beside a class in the code of a word unseen in training
 
 
 def unit_bin(word: bytes) -> int:
-    return UNITS + zlib.crc32(word[-ENDING:]) % BINS
+    """Place of the word's bin, from the end: the same whatever the number of words before the bins."""
+    return -2 - zlib.crc32(word[-ENDING:]) % BINS
 
 
 class Units(dict):
-    """Word -> unit; only the most frequent words are kept."""
+    """Word -> unit; other words than those it is given go by their ending."""
 
     def __missing__(self, word: bytes) -> int:
         return unit_bin(word)
@@ -103,7 +114,7 @@ def count_unit_pairs(texts: DataFrame, words: list[bytes]) -> np.ndarray:
         codes: list[int] = []
 
         def add() -> None:
-            u = np.array(codes, np.int64)
+            u = np.array(codes, np.int64) % ALL
             codes.clear()
             if len(u):
                 np.add.at(matrix, np.concatenate([[END_UNIT], u[:-1]]) * ALL + u, 1)
@@ -198,24 +209,40 @@ def exchange(matrix: np.ndarray, classes: int = CLASSES, end_unit: int = END_UNI
     return of, trail
 
 
-class Model(NamedTuple):
-    units: list[bytes]
+class Classes(NamedTuple):
+    """The class of every training word: the head's here, all others' in ``table``."""
+
+    seeds: int  # the first so many words of the head
     of: np.ndarray  # class of each unit
-    move: np.ndarray  # log10 P(class | previous class)
-    unknown: np.ndarray  # log10 P(an unknown word | previous class)
-    mass: np.ndarray  # count of each class
     words: list[bytes]  # the head
     counts: np.ndarray
-    tokens: int
-    types: int
-    ends: int
+    cls: np.ndarray  # class of each word of the head
+    table: DataFrame  # rows (word, n, cls) of every training word but the seeds
+
 
-    def base(self, n: np.ndarray | float):
-        return np.log10((n + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+class Model:
+    def __init__(self, classes: Classes, move: np.ndarray, unknown: np.ndarray, mass: np.ndarray, tokens: int, types: int, ends: int):
+        self.classes = classes
+        self.move = move  # log10 P(class | previous class)
+        self.unknown = unknown  # log10 P(an unknown word | previous class)
+        self.mass = mass  # count of each class
+        self.tokens, self.types, self.ends = tokens, types, ends
 
-    def emission(self, n, cls):
-        """log10 P(word | class) of known words."""
-        return np.log10((n - DISCOUNT) / self.mass[cls])
+    @cached_property
+    def _named(self) -> tuple[list[bytes], np.ndarray]:
+        c, rows = self.classes, self.classes.table.select("word", "cls").collect()
+        of = np.concatenate([c.of[: c.seeds], np.array([r.cls for r in rows], np.int64), c.of[UNITS:]])
+        return c.words[: c.seeds] + [bytes(r.word) for r in rows], of
+
+    @property
+    def units(self) -> list[bytes]:
+        """All training words, gathered for a look at small models; learning and scoring don't use it."""
+        return self._named[0]
+
+    @property
+    def of(self) -> np.ndarray:
+        """Class of each of ``units``, of the bins and of the end."""
+        return self._named[1]
 
 
 def head_of(vocab: DataFrame) -> tuple[list[bytes], np.ndarray]:
@@ -238,120 +265,227 @@ def head_of(vocab: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [words[k] for k in order], counts[order].astype(np.int64)
 
 
-def learn(texts: DataFrame, vocab: DataFrame) -> Model:
-    """Everything of the model that has a fixed size; vocab: rows (word, n) of all training words."""
-    words, counts = head_of(vocab)
-    matrix = count_unit_pairs(texts, words[:UNITS])
-    of, _ = exchange(matrix)
-    hot = np.zeros((ALL, CLASSES))
-    hot[np.arange(ALL), of] = 1.0
-    pairs = hot.T @ matrix @ hot
-    ends = int(matrix[:, END_UNIT].sum())
-    mass, types = pairs.sum(axis=0), np.zeros(CLASSES, np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast((words[:UNITS], of))
+def _smoothed(pairs: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """P(class | previous class)."""
+    return (pairs + PRIOR * mass / max(mass.sum(), 1.0)) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
+
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def neighbours(texts: DataFrame, seeds: list[bytes], of: np.ndarray) -> DataFrame:
+    """Rows (word, around) of all words but the seeds: a class byte before and one after each occurrence, in lists."""
+    shared = texts.sparkSession.sparkContext.broadcast((seeds, of.astype(np.uint8)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, of = shared.value
-        units, count = Units((w, i) for i, w in enumerate(names)), np.zeros(CLASSES, np.int64)
+        units = Units((w, i) for i, w in enumerate(names))
+        around: defaultdict[bytes, bytearray] = defaultdict(bytearray)
+        end, seen = bytes([END_CLASS]), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            items = list(around.items())
+            around.clear()
+            for a in range(0, len(items), 50_000):
+                part = items[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([bytes(x) for _, x in part], pa.binary())], ["word", "around"])
+
         for batch in batches:
-            found = of[np.fromiter(map(units.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)]
-            count += np.bincount(found, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(count)], ["cls", "types"])
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                words = lower_words(t)
+                u = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
+                line = end + of[u].tobytes() + end
+                for k in np.flatnonzero(u < 0).tolist():
+                    around[words[k]] += line[k : k + 3 : 2]
+                seen += len(words)
+                if len(around) >= FLUSH or seen >= 4 * CODES:
+                    yield from out()
+                    seen = 0
+        yield from out()
 
-    for r in vocab.select("word").mapInArrow(by_class, "cls int, types long").groupBy("cls").agg(F.sum("types").alias("types")).collect():
-        types[r.cls] = r.types
-    total = max(mass.sum(), 1.0)
-    share = mass / total
-    move = (pairs + PRIOR * share) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
-    free = np.where(mass > 0, DISCOUNT * types / np.maximum(mass, 1), 0.0)
-    tiny = 0.5 / (total + 0.5)  # only where nothing at all was discounted
+    return texts.select("text").mapInArrow(run, "word binary, around binary").groupBy("word").agg(F.collect_list("around").alias("around"))
+
+
+def assign(around: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """Rows (word, n, cls): for each word the class that makes it and its neighbours likeliest, the class bigrams fixed."""
+    mass = pairs.sum(axis=0)
     with np.errstate(divide="ignore"):
-        unknown = np.log10(np.maximum(move @ free, tiny * 1e-3))
-        log_move = np.log10(np.maximum(move, 1e-300))
-    return Model(words[:UNITS], of, log_move, unknown, mass, words, counts, int(mass.sum()), int(types.sum()) + (ends > 0), ends)
+        move = np.log(np.maximum(_smoothed(pairs, mass), 1e-300))
+        weight = np.where(mass > 0, np.log(np.maximum(mass, 1.0)), np.inf)
+    weight[END_CLASS] = np.inf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
+                lines = [b"".join(x) for x in batch.column(1).to_pylist()]
+                n = np.fromiter(map(len, lines), np.int64, len(lines)) // 2
+                codes = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, 2)
+                at = np.repeat(np.arange(len(lines)) * CLASSES, n)
+                before, after = (np.bincount(at + codes[:, k], minlength=len(lines) * CLASSES).reshape(-1, CLASSES) for k in (0, 1))
+                chance = before @ move + after @ move.T - n[:, None] * weight
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(chance.argmax(axis=1).astype(np.int32))], ["word", "n", "cls"])
+
+    return around.mapInArrow(run, "word binary, n long, cls int")
 
 
-def score(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def classify(texts: DataFrame, vocab: DataFrame) -> Classes:
+    """A class for every training word; vocab: rows (word, n) of all of them."""
+    words, counts = head_of(vocab)
+    seeds = words[:UNITS]
+    matrix = count_unit_pairs(texts, seeds)
+    of, _ = exchange(matrix)
+    hot = np.zeros((ALL, CLASSES))
+    hot[np.arange(ALL), of] = 1.0
+    table = stored(assign(neighbours(texts, seeds, of), hot.T @ matrix @ hot), "classlm-classes")
+    cls = np.zeros(len(words), np.int64)
+    cls[: len(seeds)] = of[: len(seeds)]
+    if len(words) > len(seeds):
+        found = table.where((F.col("n") >= int(counts[-1])) & (F.octet_length("word") <= WORD_BYTES)).select("word", "cls").toArrow()
+        by_word = dict(zip(found.column("word").to_pylist(), found.column("cls").to_pylist()))
+        cls[len(seeds) :] = [by_word[w] for w in words[len(seeds) :]]
+    return Classes(len(seeds), of, words, counts, cls, table)
+
+
+def coded(docs: DataFrame, classes: Classes) -> DataFrame:
+    """Rows (doc_id, codes, known, counted, based), one for each row of docs.
+
+    codes: a byte for each word, its class, with UNKNOWN added for a word unseen in training (the
+    class of its ending). known: words seen; counted and based: sums of log10(n - DISCOUNT)
+    over these and of log10(n + 0.5) over all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((classes.words, classes.counts, classes.cls.astype(np.uint8), classes.of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        units = Units((w, i) for i, w in enumerate(m.units))
-        place = {w: i for i, w in enumerate(m.words)}
-        cls = m.of[np.fromiter(map(units.__getitem__, m.words), np.int64, len(m.words))] if m.words else np.zeros(0, np.int64)
-        base, emit = m.base(m.counts), m.emission(m.counts, cls)
-        get, seq, part = place.get, 0, TaskContext.get().partitionId()
+        names, counts, cls, of = shared.value
+        get = {w: i for i, w in enumerate(names)}.get
+        counted, based = np.log10(counts - DISCOUNT), np.log10(counts + 0.5)
+        seq, part = 0, TaskContext.get().partitionId()
+        entry = pa.struct([("word", pa.binary()), ("at", pa.binary())])
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(entry)]
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch, rows = whole.slice(a, 500), []
                 for t in batch.column(1).cast(pa.binary()).to_pylist():
                     words = lower_words(t)
-                    n = len(words)
-                    at = np.fromiter((get(w, -1) for w in words), np.int64, n)
-                    rare = np.flatnonzero(at < 0)
-                    c = np.full(n + 1, END_CLASS)
-                    c[:n] = cls[at] if len(cls) else 0
-                    names = [words[k] for k in rare.tolist()]
-                    if names:
-                        c[rare] = m.of[[units[w] for w in names]]
-                    before = np.concatenate([[END_CLASS], c[:-1]])
-                    move = m.move[before, c]
+                    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
                     known = at[at >= 0]
-                    settled = np.concatenate([at >= 0, [True]])
-                    tail: dict[bytes, list] = {}
-                    for k, w in zip(rare.tolist(), names):
-                        entry = tail.setdefault(w, [0, 0.0, 0.0, int(c[k])])
-                        entry[0] += 1
-                        entry[1] += float(move[k])
-                        entry[2] += float(m.unknown[before[k]])
-                    ended = m.ends > 0
-                    rows.append(
-                        (
-                            part << 33 | seq,
-                            n + 1,
-                            len(known) + ended,
-                            float(base[known].sum() + m.base(m.ends)),
-                            float(move[settled].sum() + emit[known].sum()) if m.tokens else 0.0,
-                            [{"word": w, "times": e[0], "move": e[1], "unknown": e[2], "cls": e[3]} for w, e in tail.items()],
-                        )
-                    )
+                    codes = np.zeros(len(words), np.uint8)
+                    codes[at >= 0] = cls[known]
+                    tail: defaultdict[bytes, list[int]] = defaultdict(list)
+                    for k in np.flatnonzero(at < 0).tolist():
+                        tail[words[k]].append(k)
+                    for w, places in tail.items():
+                        codes[places] = of[unit_bin(w)] + UNKNOWN
+                    entries = [{"word": w, "at": np.array(x, np.uint32).tobytes()} for w, x in tail.items()]
+                    missing = (len(words) - len(known)) * math.log10(0.5)
+                    rows.append((part << 33 | seq, codes.tobytes(), len(known), float(counted[known].sum()), float(based[known].sum()) + missing, entries))
                     seq += 1
-                entry = pa.struct([("word", pa.binary()), ("times", pa.int64()), ("move", pa.float64()), ("unknown", pa.float64()), ("cls", pa.int32())])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(entry)]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "row", "n_tokens", "known", "base", "settled", "tail"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "row", "codes", "known", "counted", "based", "tail"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for codes, known, counted, based, found in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
+                if found:
+                    line = np.frombuffer(codes, np.uint8).copy()
+                    for e in found:
+                        at = np.frombuffer(e["at"], np.uint32)
+                        line[at] = e["cls"]
+                        known += len(at)
+                        counted += len(at) * math.log10(e["n"] - DISCOUNT)
+                        based += len(at) * (math.log10(e["n"] + 0.5) - math.log10(0.5))
+                    codes = line.tobytes()
+                rows.append((codes, known, counted, based))
+            kinds = [pa.binary(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "codes", "known", "counted", "based"])
 
     picked = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, known long, base double, settled double, tail array<struct<word:binary,times:long,move:double,unknown:double,cls:int>>"
-    first = stored(picked.mapInArrow(run, schema), "classlm-texts")
-    tail = first.select("row", F.inline("tail")).join(vocab, "word", "left")
-    mass = F.element_at(F.array(*[F.lit(float(x)) for x in model.mass]), F.col("cls") + 1)
-    spread = math.log10(model.tokens + 0.5 * (model.types + 1))
-    emitted = F.when(F.col("n").isNull(), F.col("unknown")).otherwise(F.col("move") + F.col("times") * F.log10((F.col("n") - DISCOUNT) / mass))
-    rest = tail.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rest_known"),
-        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(spread))).alias("rest_base"),
-        F.sum(emitted if model.tokens else F.lit(0.0)).alias("rest_score"),
-    )
-    out = first.drop("tail").join(rest, "row", "left")
-    return out.select(
-        "doc_id",
-        (crc_mod(F.col("doc_id"), FOLDS) == HELD).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"),
-        (F.col("settled") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
-    )
+    kind = picked.schema["doc_id"].dataType.simpleString()
+    first = stored(picked.mapInArrow(run, f"doc_id {kind}, row long, codes binary, known long, counted double, based double, tail array<struct<word:binary,at:binary>>"), "classlm-texts")
+    outside = classes.table
+    if len(classes.words):
+        outside = outside.where((F.col("n") < int(classes.counts[-1])) | (F.octet_length("word") > WORD_BYTES))
+    found = first.select("row", F.inline("tail")).join(outside, "word").groupBy("row").agg(F.collect_list(F.struct("at", "n", "cls")).alias("found"))
+    whole = first.drop("tail").join(found, "row", "left").select("doc_id", "codes", "known", "counted", "based", "found")
+    return stored(whole.mapInArrow(placed, f"doc_id {kind}, codes binary, known long, counted double, based double"), "classlm-codes")
+
+
+def count_class_pairs(codes: DataFrame) -> np.ndarray:
+    """Matrix [CLASSES, CLASSES] of class bigrams over all coded texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, cells = bytes([END_CLASS]), np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            c = np.frombuffer(end + b"".join(x + end for x in batch.column(0).to_pylist()), np.uint8).astype(np.int64) % UNKNOWN
+            cells += np.bincount(c[:-1] * CLASSES + c[1:], minlength=len(cells))
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
+
+    pairs = np.zeros(CLASSES * CLASSES)
+    for r in codes.select("codes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        pairs[r.cell] = r.n
+    return pairs.reshape(CLASSES, CLASSES)
+
+
+def fit(classes: Classes, codes: DataFrame) -> Model:
+    """The model of the classes; codes: the coded training texts."""
+    pairs = count_class_pairs(codes)
+    ends = int(pairs[:, END_CLASS].sum())
+    mass, types = pairs.sum(axis=0), np.bincount(classes.cls[: classes.seeds], minlength=CLASSES)
+    for r in classes.table.groupBy("cls").agg(F.count(F.lit(1)).alias("types")).collect():
+        types[r.cls] += r.types
+    total = max(mass.sum(), 1.0)
+    move = _smoothed(pairs, mass)
+    free = np.where(mass > 0, DISCOUNT * types / np.maximum(mass, 1), 0.0)
+    tiny = 0.5 / (total + 0.5)  # only where nothing at all was discounted
+    with np.errstate(divide="ignore"):
+        unknown = np.log10(np.maximum(move @ free, tiny * 1e-3))
+        log_move = np.log10(np.maximum(move, 1e-300))
+    return Model(classes, log_move, unknown, mass, int(mass.sum()), int(types.sum()) + (ends > 0), ends)
+
+
+def learn(texts: DataFrame, vocab: DataFrame) -> Model:
+    """The model of the texts; vocab: rows (word, n) of all training words."""
+    classes = classify(texts, vocab)
+    return fit(classes, coded(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), classes))
+
+
+def scored(codes: DataFrame, model: Model) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each coded text."""
+    shared = codes.sparkSession.sparkContext.broadcast((model.move, model.unknown, model.mass, model.tokens, model.types, model.ends))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move, unknown, mass, tokens, types, ends = shared.value
+        log_mass, spread = np.log10(np.maximum(mass, 1.0)), math.log10(tokens + 0.5 * (types + 1))
+        for batch in batches:
+            rows = []
+            for line, known, counted, based in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                code = np.append(np.frombuffer(line, np.uint8), np.uint8(END_CLASS)).astype(np.int64)
+                c, new = code % UNKNOWN, code >= UNKNOWN
+                before = np.concatenate([[END_CLASS], c[:-1]])
+                chance = np.where(new, unknown[before], move[before, c])
+                score = chance.sum() + counted - log_mass[c[:-1][~new[:-1]]].sum()
+                base = based + math.log10(ends + 0.5) - len(c) * spread
+                rows.append((len(c), known + (ends > 0), tokens, base if tokens else 0.0, float(score) if tokens else 0.0))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
+
+    kind = codes.schema["doc_id"].dataType.simpleString()
+    out = codes.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, vocab: DataFrame | None = None) -> DataFrame:
+    """``scored`` of docs; the model's own table has the counts of vocab."""
+    return scored(coded(docs, model.classes), model)
 
 
 def score_all(docs: DataFrame) -> DataFrame:
-    """Learn from the training folds of docs and score all its rows."""
+    """Learn from the training folds of docs and score all its rows; texts are coded once."""
     texts = docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD).select(F.col("text").cast("string").alias("text"))
-    vocab = stored(count_words(texts), "classlm-words")
-    return score(docs, learn(texts, vocab), vocab)
+    classes = classify(texts, stored(count_words(texts), "classlm-words"))
+    codes = coded(docs, classes)
+    return scored(codes, fit(classes, codes.where(crc_mod(F.col("doc_id"), FOLDS) != HELD)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

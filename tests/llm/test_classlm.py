@@ -91,6 +91,29 @@ def test_scores_against_brute_force(spark, make_docs, head):
             assert sum(10 ** chance(before, w) for w in counts) + 10 ** model.unknown[before] == pytest.approx(1, abs=1e-3)
 
 
+def test_words_outside_the_seeds_have_classes_of_their_own(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(L, "UNITS", 30)
+    monkeypatch.setattr(L, "ALL", 30 + L.BINS + 1)
+    monkeypatch.setattr(L, "END_UNIT", 30 + L.BINS)
+    monkeypatch.setattr(L.exchange, "__defaults__", (L.CLASSES, 30 + L.BINS, L.SWEEPS))
+    rnd = random.Random(8)
+    a, b = [f"a{i}same" for i in range(60)], [f"b{i}same" for i in range(60)]  # one ending, two uses
+    rows = []
+    for i in range(400):
+        rows.append((i, " ".join(f"left{rnd.randrange(3)} {rnd.choice(a)} right{rnd.randrange(3)} up{rnd.randrange(3)} {rnd.choice(b)} down{rnd.randrange(3)}" for _ in range(12))))
+    docs = make_docs(rows).repartition(3)
+    texts = docs.where(L.crc_mod(docs.doc_id, 5) != 1).select("text")
+    vocab = L.stored(L.count_words(texts), "t")
+    model = L.learn(texts, vocab)
+    words = {w for i, t in rows if not held(i) for w in t.split()}
+    assert {w.decode() for w in model.units} == words  # each by itself, however many there are
+    of = {w.decode(): int(c) for w, c in zip(model.units, model.of)}
+    rest = [w for w in words if w not in {x.decode() for x in model.classes.words[:30]}]
+    assert not {of[w] for w in rest if w[0] == "a"} & {of[w] for w in rest if w[0] == "b"}
+    key = lambda df: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+    assert key(L.score_all(docs)) == key(L.score(docs, model, vocab))
+
+
 def test_empty_and_no_training(spark, make_docs):
     assert L.score_all(make_docs([]).select("doc_id", "text")).count() == 0
     only = [i for i in range(60) if held(i)][:3]
