@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, as a full URI.
 
-    Only where the setting is absent (tests on one machine) is a temporary folder made.
+    Only on a local master, where one machine is all there is, a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marketweave-"))
         base = spark.sparkContext.getCheckpointDir()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
@@ -58,7 +60,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    remove(df.sparkSession, df.stored_at)
 
 
 def md5_long(col: Column) -> Column:

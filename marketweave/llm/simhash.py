@@ -28,20 +28,38 @@ Defined cases: null and empty texts have fingerprint 0, linked like any other; a
 document with fewer words than a shingle is one shingle; repeated rows each get a
 row; rows with a null doc_id take part but never name a component; an empty table
 gives an empty result. Columns other than id and text are not read.
+
+Similarity of shingle sets (``similar_groups``, ``keep_one``): five-word shingles and a Jaccard
+similarity of 0.8 or more. Such sets differ in up to 15 % of the bits of a fingerprint, far
+beyond two of 64, so the same method runs on a wide fingerprint: many rings of 64 bits, each
+cut into segments whose length follows the number of rows, as many as the wanted recall
+asks for (``layout``). A pair is a candidate if it agrees on a whole segment, it must then
+keep within the proportional budgets (RATIO of the bits) of the longer chains round that ring, then
+of the whole fingerprint, and last the shingle sets themselves are compared. So
+all links are true ones; a pair is missed only if no segment agrees.
+
+There each segment's sets are first linked to their smallest one (a star, not all
+pairs; of a set's stars only the nearest is compared by its shingles), which joins nearly every
+large group. Only what is then in another component than the most frequent one of its segment is compared with the
+segment's other members. Texts without words are one set; texts that differ in
+white space or case only are equal; ids may repeat, rows are told apart by id and text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from marketweave.llm.common import lower_words, stored, table
+from marketweave.llm.common import discard, lower_words, stored, table
 
 BITS = 64
 RADIUS = 2
@@ -51,6 +69,13 @@ SHINGLE = 3
 SEED = 42
 BLOCK = 65_536
 
+WORDS = 5
+SIMILARITY = 0.8
+MISS = 0.05  # chance that a pair at the very similarity shares no segment
+RATIO = 0.25  # of a chain's bits may differ: well above what similar sets differ in, well below a half
+LEAST_SEGMENT, MOST_SEGMENT = 12, 40
+BROADCAST_BYTES = 64 << 20
+
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint of one text; memory is bounded by BLOCK shingles."""
@@ -162,7 +187,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("u"), "v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e"))
-        current = stored(small.select("e.*").where("u <> v").distinct(), "simhash-links")
+        before, current = current, stored(small.select("e.*").where("u <> v").distinct(), "simhash-links")
+        discard(before)
         now = state(current)
         if now == seen:
             return current.select(F.col("v").alias("node"), F.col("u").alias("root"))
@@ -186,13 +212,199 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """docs without all but one document (the smallest doc_id) of each component.
+# --- similarity of shingle sets ----------------------------------------------
+
+
+class Layout(NamedTuple):
+    """A wide fingerprint: ``words`` rings of 64 bits, each with ``per`` segments of ``bits`` bits."""
+
+    bits: int
+    per: int
+    words: int
+    similarity: float
+
+
+def layout(rows: int, similarity: float = SIMILARITY, miss: float = MISS) -> Layout:
+    """Segments as long as log2 of the rows, so that unlike texts meet about once; as many of them as ``miss`` asks for.
+
+    Sets of Jaccard similarity s have a cosine of 2 s / (1 + s) at least; a bit agrees with
+    the chance 1 - angle / pi, a segment with that chance to the power of its bits.
+    """
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(MOST_SEGMENT, max(LEAST_SEGMENT, math.ceil(math.log2(max(rows, 2)))))
+    segments = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
+    return Layout(bits, BITS // bits, math.ceil(segments / (BITS // bits)), similarity)
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finisher: every bit of x moves every bit of the result."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes | None, shingle: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; fewer words are one shingle, none give no shingle."""
+    words = lower_words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = _mixed(out + _MIX[0] + hashes[k : k + n])
+    return np.unique(out)
+
+
+def wide_fingerprint(grams: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 majority bits of the set, from as many independent hashes of each shingle."""
+    ones, seeds = np.zeros(words * BITS, np.int64), np.arange(1, words + 1, dtype=np.uint64) * _MIX[0]
+    for at in range(0, len(grams), 255):  # so many rows of bits fit a sum of bytes
+        bits = np.unpackbits(_mixed(grams[at : at + 255, None] ^ seeds).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)
+
+
+def sketches(docs: DataFrame, shape: Layout, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS) -> DataFrame:
+    """Rows (doc_id, mark, sid, n, fp, grams): the text's hash, its shingle set's hash and size, fingerprint and set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [shingle_set(t, shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+                sids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                prints = [wide_fingerprint(s, shape.words) for s in sets]
+                columns = [
+                    batch.column(0), batch.column(1), pa.array(sids), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(prints, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "n", "fp", "grams"])
+
+    picked = docs.select(F.col(doc_id).alias("doc_id"), text_mark(text).alias("mark"), F.col(text).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, mark long, sid long, n long, fp array<long>, grams array<long>")
+
+
+def text_mark(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _within_ring(a: Column, b: Column, key: Column, shape: Layout) -> Column:
+    """Chains from the key's segment round its ring differ in at most RATIO of their bits, at each length."""
+    diff, start = a.bitwiseXOR(b), F.shiftright(key, shape.bits) % shape.per
+    signed = lambda m: m if m < 1 << 63 else m - (1 << 64)
+    out = F.lit(True)
+    for length in range(2, shape.per + 1):
+        masks = [sum(((1 << shape.bits) - 1) << ((s + k) % shape.per * shape.bits) for k in range(length)) for s in range(shape.per)]
+        mask = reduce(lambda acc, s: acc.when(start == s, F.lit(signed(masks[s]))), range(1, shape.per), F.when(start == 0, F.lit(signed(masks[0]))))
+        out = out & (F.bit_count(diff.bitwiseAND(mask)) <= int(RATIO * shape.bits * length))
+    return out
+
+
+def _segments(sets: DataFrame, shape: Layout) -> DataFrame:
+    """Rows (key, sid, word): each set under each segment of its fingerprint, with the ring the segment is on."""
+    mask = F.lit((1 << shape.bits) - 1 if shape.bits < 64 else -1)
+    words = sets.select("sid", F.posexplode("fp").alias("w", "word"))
+    table = lambda j: F.shiftleft((F.col("w") * shape.per + j).cast("long"), shape.bits)
+    keys = F.array(*[table(j).bitwiseOR(F.shiftrightunsigned("word", j * shape.bits).bitwiseAND(mask)) for j in range(shape.per)])
+    return words.select(F.explode(keys).alias("key"), "sid", "word")
+
+
+def _close(pairs: DataFrame, sets: DataFrame, shape: Layout) -> DataFrame:
+    """Rows (u, v, far) of the pairs whose whole fingerprints and sizes allow the similarity; far: differing bits."""
+    side = lambda n: sets.select(F.col("sid").alias(n), F.col("n").alias(f"n{n}"), F.col("fp").alias(f"f{n}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    far = reduce(lambda x, y: x + y, [F.bit_count(F.col("fu")[k].bitwiseXOR(F.col("fv")[k])) for k in range(shape.words)])
+    sized = F.least("nu", "nv") >= shape.similarity * F.greatest("nu", "nv") - 1e-9
+    return both.where(sized).select("u", "v", far.alias("far")).where(F.col("far") <= int(RATIO * BITS * shape.words))
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, shape: Layout) -> DataFrame:
+    """Rows (u, v) of the pairs whose shingle sets have the Jaccard similarity."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    grams = prints.select("sid", "grams").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
+    grams = stored(grams, "simhash-grams")
+    side = lambda n: grams.select(F.col("sid").alias(n), F.col("grams").alias(f"g{n}"))
+    common = F.size(F.array_intersect("gu", "gv"))
+    enough = common * (1 + shape.similarity) >= shape.similarity * (F.size("gu") + F.size("gv")) - 1e-9
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(enough).select("u", "v")
+
+
+def set_links(prints: DataFrame, sets: DataFrame, shape: Layout) -> DataFrame:
+    """Rows (u, v), u < v, of similar sets; every similar pair that shares a segment is connected by them."""
+    keyed = _segments(sets, shape)
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "word")).alias("least")).where("size > 1")
+    sized = keyed.join(buckets, "key").select("key", "sid", "word", "size", F.col("least.sid").alias("rep"), F.col("least.word").alias("rep_word"))
+    sized = stored(sized, "simhash-segments")
+    star = sized.where((F.col("sid") != F.col("rep")) & _within_ring(F.col("word"), F.col("rep_word"), F.col("key"), shape))
+    near = stored(_close(star.select(F.col("rep").alias("u"), F.col("sid").alias("v")).distinct(), sets, shape), "simhash-star")
+    nearest = near.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
+    first = stored(_similar(nearest, prints, shape), "simhash-first")
+    roots = components(first)
+    root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
+    # what the stars left apart: other components of a segment against all its members
+    held = sized.where("size > 2").join(root("sid", "root"), "sid", "left").select("key", "sid", "word", "rep", F.coalesce("root", "sid").alias("root"))
+    held = stored(held, "simhash-held")
+    counts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    mixed = held.join(counts.where("roots > 1").drop("roots"), "key")
+    others = mixed.where("root <> main and sid <> rep").select("key", F.col("sid").alias("a"), F.col("word").alias("wa"), F.col("root").alias("ra"))
+    members = mixed.where("sid <> rep").select("key", F.col("sid").alias("b"), F.col("word").alias("wb"), F.col("root").alias("rb"), "main")
+    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
+    cross = others.join(members, "key").where(apart & _within_ring(F.col("wa"), F.col("wb"), F.col("key"), shape))
+    cross = _close(cross.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), sets, shape).select("u", "v")
+    left = near.join(nearest, ["u", "v"], "left_anti").join(root("u", "ru"), "u", "left").join(root("v", "rv"), "v", "left")
+    left = left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    more = _similar(stored(cross.unionByName(left).distinct(), "simhash-more"), prints, shape)
+    return first.unionByName(more)
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
+    """Rows (doc_id, mark, component_id, kept), one for each row of docs.
+
+    Documents whose shingle sets have a Jaccard similarity of ``similarity`` are linked;
+    a pair at that very similarity is missed with the chance ``miss``, more similar ones more seldom. kept: the row
+    (or an equal one) stands for its component: the smallest doc_id, those without
+    one last, then the smallest text hash ``mark``.
+    """
+    shape = layout(docs.count(), similarity, miss)
+    prints = stored(sketches(docs, shape, doc_id, text, shingle), "simhash-sets")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")).alias("best")
+    sets = stored(prints.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), best), "simhash-distinct")
+    roots = components(set_links(prints, sets, shape))
+    named = sets.select("sid", "best").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = stored(named, "simhash-roots")
+    chosen = named.groupBy("root").agg(F.min("best").alias("chosen"))
+    out = prints.select("doc_id", "mark", "sid").join(named.join(chosen, "root").select("sid", "chosen"), "sid")
+    kept = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("mark") == F.col("chosen.mark"))
+    return out.select("doc_id", "mark", F.col("chosen.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each component of near-duplicates (see similar_groups); all columns as they are.
 
-    Rows that repeat a kept doc_id are reduced to one; rows without a doc_id can't be
-    named by the decision and stay.
+    Decided by row, not by id: of rows with one id and different texts each stands for its own component. Rows
+    equal in id and text are reduced to one (the least by a hash of all its columns). Whole
+    rows move only if the list of rows to drop is beyond BROADCAST_BYTES.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = similar_groups(docs, doc_id, text, shingle, similarity)
+    listed = found.groupBy("doc_id", "mark").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1")
+    listed = stored(listed.select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept")), "simhash-listed")
+    size, again = listed.agg(F.sum(F.octet_length(F.coalesce(F.col("_doc_id").cast("string"), F.lit(""))) + 32), F.count_if("_kept")).first()
+    small = (lambda df: F.broadcast(df)) if (size or 0) <= BROADCAST_BYTES else (lambda df: df)
+    same = docs[doc_id].eqNullSafe(F.col("_doc_id")) & (text_mark(text) == F.col("_mark"))
+    out = docs.join(small(listed), same, "left_anti")
+    if again:
+        repeated = docs.join(small(listed.where("_kept")), same, "left_semi")
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        order = F.xxhash64(*[F.to_json(F.struct(c)) if _has_map(f.dataType) else c for c, f in zip(columns, docs.schema)])
+        one = repeated.groupBy(F.col(f"`{doc_id}`").alias("_id"), text_mark(text).alias("_mark")).agg(F.min_by(F.struct(*columns), order).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out
+
+
+def _has_map(kind: DataType) -> bool:
+    return "map<" in kind.simpleString()

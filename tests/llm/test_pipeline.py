@@ -57,18 +57,19 @@ def test_run_against_plain_stages(spark, folder):
     assert ids(by_stage[0]) == sorted((i for i, _ in kept), key=str)
     bad = {i for i, q, _ in labels if not q}
     assert not bad & {i for i, _ in kept}
-    prints = {(i, t): simhash.fingerprint((t or "").encode()) for i, t in kept}
-    root = {f: f for f in prints.values()}
+    shingles = {(i, t): simhash.shingle_set((t or "").encode()).tolist() for i, t in kept}
+    root = {tuple(f): tuple(f) for f in shingles.values()}
     find = lambda f: f if root[f] == f else find(root[f])
     for a in root:
         for b in root:
-            if (a ^ b).bit_count() <= 2:
+            if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)):
                 root[find(a)] = find(b)
     least = {}
-    for (i, _), f in prints.items():
+    for (i, t), f in shingles.items():
         if i is not None:
-            least[find(f)] = min(least.get(find(f), i), i)
-    stay = {i for (i, _), f in prints.items() if i is None or least[find(f)] == i}
+            least[find(tuple(f))] = min(least.get(find(tuple(f)), i), i)
+    stay = {i for (i, _), f in shingles.items() if i is not None and least[find(tuple(f))] == i}
+    stay |= {i for (i, _), f in shingles.items() if i is None and find(tuple(f)) not in least}
     assert ids(by_stage[1]) == sorted(stay, key=str)
     machine = decontaminate.Automaton((str(k), decontaminate.words_of(t.encode())) for k, t in bench)
     text = dict(kept)

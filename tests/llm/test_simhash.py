@@ -110,7 +110,117 @@ def test_documents_edge_cases(spark):
         same = [j for j, u in rows if j is not None and (slow_fingerprint(u) ^ f).bit_count() <= 2]
         want.append((i or -1, int(np.uint64(f).astype(np.int64)), min(same)))
     assert got == sorted(want)
+    assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def slow_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def slow_groups(rows):
+    """(links between distinct sets, component number of each row)"""
+    sets = [slow_set(t) for _, t in rows]
+    links = {(a, b) for a in set(sets) for b in set(sets) if a != b and len(a & b) >= 0.8 * len(a | b) - 1e-9}
+    root = {s: s for s in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return links, [find(s) for s in sets], sets
+
+
+def edited(rnd, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rnd.randrange(len(out))] = f"new{rnd.randrange(10**6)}"
+    return " ".join(out)
+
+
+def near_copies(seed, groups, copies, edits, length=120):
+    rnd, rows = random.Random(seed), []
+    for g in range(groups):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(length)]
+        rows += [(len(rows) + k, edited(rnd, words, rnd.randrange(edits))) for k in range(copies)]
+    rnd.shuffle(rows)
+    return rows
+
+
+def held_against_slow(spark, rows, least):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links, groups, sets = slow_groups(rows)
+    got = {r.doc_id: r.component_id for r in S.similar_groups(df).collect()}
+    of = {s: got[i] for (i, _), s in zip(rows, sets)}
+    slow = {}
+    for (i, _), g in zip(rows, groups):
+        slow.setdefault(g, set()).add(i)
+    for (i, _), g in zip(rows, groups):
+        assert got[i] in slow[g]  # no false link
+    found = sum(of[a] == of[b] for a, b in links)
+    assert found >= least * len(links)
+    return got
+
+
+def test_near_copies_are_found(spark):
+    held_against_slow(spark, near_copies(1, 60, 5, 4), 0.95)
+
+
+def test_pairs_near_the_threshold(spark):
+    rnd, rows = random.Random(5), []
+    for g in range(150):  # pairs that differ in one stretch: 0.8 to 0.85 alike
+        words = [f"w{rnd.randrange(10**5)}" for _ in range(100)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[: 100 - rnd.randrange(8, 11)] + [f"n{rnd.randrange(10**6)}" for _ in range(10)]))]
+    held_against_slow(spark, rows, 0.9)
+
+
+def test_one_large_group_of_near_copies_and_what_stands_apart(spark):
+    rows = near_copies(2, 1, 300, 3)
+    rows += [(10_000 + i, t) for i, t in near_copies(3, 40, 2, 6, 60)]
+    got = held_against_slow(spark, rows, 0.95)
+    assert len({got[i] for i, _ in rows if i < 10_000}) == 1
+
+
+def test_keep_one_decides_by_row(spark):
+    rnd = random.Random(8)
+    a, b = ([f"w{rnd.randrange(10**5)}" for _ in range(80)] for _ in range(2))
+    near, other = edited(rnd, a, 1), " ".join(b)
+    rows = [(3, " ".join(a)), (5, near), (5, other)]
+    for k in range(3):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string")
+        assert sorted((r.doc_id, r.text) for r in S.keep_one(df).collect()) == [(3, rows[0][1]), (5, other)]
+    rows += [(5, other), (None, near), (None, "only here"), (None, "only here"), (7, None), (8, " \n"), (9, "ONLY here")]
+    df = spark.createDataFrame([(i, t, {"k": "v"}, "x", "y") for i, t in rows], "doc_id long, text string, extra map<string,string>, mark string, _kept string")
     kept = S.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 7, 8]
-    assert S.near_duplicates(df.limit(0)).count() == 0
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, rows[0][1]), (5, other), (7, None), (9, "ONLY here")]
+    assert kept.schema == df.schema and S.keep_one(df.limit(0)).count() == 0
+    bare = spark.createDataFrame([(None, "a b"), (None, "a  b"), (None, "a b")], "doc_id string, text string")
+    assert S.keep_one(bare).count() == 1
+
+
+def test_keep_one_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+    rows = near_copies(4, 5, 4, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = S.keep_one(df)
+    assert "BroadcastExchange" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    links, groups, _ = slow_groups(rows)
+    assert plan.count() == len(set(groups))
+
+
+def test_layout_keeps_its_recall_at_every_size():
+    for n in (1, 10**3, 10**6, 10**9):
+        shape = S.layout(n)
+        agree = 1 - np.arccos(1.6 / 1.8) / np.pi
+        assert 1 - (1 - agree**shape.bits) ** (shape.per * shape.words) >= 0.95 and shape.bits >= min(np.log2(n), 40)
+
+
+def test_long_text_sketch():
+    text = " ".join(f"w{i}" for i in range(100_000)).encode()
+    s = S.shingle_set(text)
+    assert len(s) == 99_996 and len(S.wide_fingerprint(s, 3)) == 3
+    assert S.shingle_set(b"a b").tolist() == S.shingle_set(b"A\tb").tolist() and len(S.shingle_set(b"a b")) == 1 and len(S.shingle_set(None)) == 0
