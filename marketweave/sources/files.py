@@ -9,6 +9,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
+from marketweave.errors import PermanentError
+
 
 def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -23,10 +25,12 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir), removed at exit.
 
-    Only where the setting is absent (tests on one machine) is a temporary folder made.
+    Only on a local master, where one machine is all there is, a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise PermanentError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marketweave-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
