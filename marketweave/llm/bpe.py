@@ -95,6 +95,16 @@ class Vocabulary:
         out.append(run + SPACE + parts[-1])
         return out
 
+    def apart(self, chunk: str) -> list[str]:
+        """The chunk cut at all places that no piece crosses; the parts' outputs are independent."""
+        beside, out, a = self.beside, [], 0
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in beside:
+                out.append(chunk[a:i])
+                a = i
+        out.append(chunk[a:])
+        return out
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
