@@ -8,10 +8,17 @@ item; an item shorter than a window counts as a whole, and is found as a suffix
 match along the suffix links. The words inside such occurrences are hit. A document
 whose hit words are at least ``1 / share`` of its words is contaminated.
 
-The items are a benchmark: the driver streams them, and cuts them into blocks of at
-most BLOCK_WORDS words (a longer item is a block of its own), each an automaton that is
-broadcast; the texts of a batch are run through one block after the other. So what is
-broadcast at once is bounded by a block, and the documents are never shuffled.
+Items of at most BLOCK_WORDS words are one automaton, which is broadcast; the documents stream through it and
+are never shuffled. More items are dealt into blocks of about that size. Then a document goes only to the
+blocks of which it holds a window (or a whole short item):
+
+* all windows are marked by their hashes in a bitmap of FILTER_BITS bits, which is broadcast (its size is fixed);
+* the documents are streamed past it, and the hashes of their own windows that are marked are joined with the table of
+  the items' windows, which names the blocks; texts without a mark stay where they are;
+* each distinct text left over goes to its blocks (dealt by block and a salt). A task builds a block's automaton once, from
+  the items that are sorted before the block's texts, and holds one at a time.
+
+A longest match is reported only for texts that hold a window or a whole item (0 for others), whatever the number of blocks.
 
 Defined cases: null and empty texts have no words and no hits; null or empty items take
 no part; repeated item rows count once; an item without an id marks words but isn't
@@ -22,23 +29,44 @@ columns are not read by the report and kept by the filters.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import table
+from marketweave.llm.common import stored, table
 
 WINDOW = 13
 SHARE = 20
 BLOCK_WORDS = 100_000
+FILTER_BITS = 1 << 28
+SALTS = 8
 
 #: Fixed: bytes that separate words; every byte of a character beyond ASCII is part of a word.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_REPORT = {
+    "doc_id": "", "n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "longest_match": "long", "spans": "array<struct<start:int,end:int>>",
+}
+
+
+class Found(NamedTuple):
+    """What one text holds."""
+
+    words: int
+    spans: list[tuple[int, int]]  # hit, in order, merged
+    items: set
+    longest: int
+
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z."""
@@ -173,41 +201,162 @@ def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", limit
 
 
 class Detector:
-    """The blocks' automata, built once in each Python worker; one is held at a time unless there is one only."""
+    """One block's automaton, built once in each Python worker."""
 
     built: dict[str, Automaton] = {}
 
-    def __init__(self, spark: SparkSession, items: DataFrame, item_id: str, text: str, window: int):
+    def __init__(self, spark: SparkSession, block: list[tuple[str | None, bytes]], window: int):
+        self.window, self.block = window, spark.sparkContext.broadcast(block)
+        self.key = hashlib.sha256(repr((window, sorted(block, key=repr))).encode()).hexdigest()
+
+    def automaton(self) -> Automaton:
+        if self.key not in Detector.built:
+            Detector.built.clear()
+            Detector.built[self.key] = Automaton(((i, words_of(t)) for i, t in self.block.value), self.window)
+        return Detector.built[self.key]
+
+    def reports(self, texts: Iterable[bytes | None]) -> Iterator[Found]:
+        """One text's words are held at a time."""
+        machine = self.automaton()
+        for text in texts:
+            words = words_of(text)
+            yield Found(len(words), *machine.hits(words))
+
+
+def window_hashes(words: list[bytes], window: int, sizes: Iterable[int]) -> Iterator[np.ndarray]:
+    """Hashes of all runs of so many words, for each of the sizes (ascending, up to the window)."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    run, done = np.zeros(len(words), np.uint64), 0
+    for size in sizes:
+        while done < size and done < len(words):
+            n = len(words) - done
+            x = (run[:n] ^ hashes[done:]) * _MIX[0]
+            run, done = (x ^ (x >> np.uint64(29))) * _MIX[1], done + 1
+        yield run ^ (run >> np.uint64(32)) if done == size else run[:0]
+
+
+def _marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word of the bitmap, its bits): two marks in one word for each hash."""
+    one = np.uint64(1)
+    bits = (one << (hashes & np.uint64(63))) | (one << ((hashes >> np.uint64(6)) & np.uint64(63)))
+    return ((hashes >> np.uint64(12)) % np.uint64(FILTER_BITS // 64)).astype(np.int64), bits
+
+
+class Blocks:
+    """Items in many blocks, as tables: rows (block, item, text) and (hash, block)."""
+
+    def __init__(self, items: DataFrame, item_id: str, text: str, window: int):
         self.window = window
-        self.blocks = [spark.sparkContext.broadcast(b) for b in blocks(items, item_id, text)]
-        digest = hashlib.sha256(repr(window).encode())
-        for b in self.blocks:
-            digest.update(repr(sorted(b.value, key=repr)).encode())
-        self.key = digest.hexdigest()
-
-    def automata(self) -> Iterator[Automaton]:
-        for k, block in enumerate(self.blocks):
-            key = f"{self.key}/{k}"
-            if key not in Detector.built:
-                Detector.built.clear()
-                Detector.built[key] = Automaton(((i, words_of(t)) for i, t in block.value), self.window)
-            yield Detector.built[key]
-
-    def reports(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set, int]]:
-        """(words, hit spans, items, longest match) of each text; one text's words are held at a time."""
-        out: list[tuple] = [(-1, [], set(), 0)] * len(texts)
-        for machine in self.automata():
-            for k, text in enumerate(texts):
-                words = words_of(text)
-                spans, found, longest = machine.hits(words)
-                _, before, items, most = out[k]
-                if spans and before:
-                    joined: list[list[int]] = []
-                    for a, b in sorted([*before, *spans], key=lambda s: s[1]):
-                        _add(joined, a, b)
-                    spans = [(a, b) for a, b in joined]
-                out[k] = (len(words), spans or before, items | found, max(most, longest))
-        return [o if o[0] >= 0 else (len(words_of(t)), *o[1:]) for o, t in zip(out, texts)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if words := words_of(t):
+                        size = min(window, len(words))
+                        (hashes,) = window_hashes(words, window, [size])
+                        rows.append((i, t, len(words), size, np.unique(hashes).view(np.int64)))
+                kinds = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["item", "text", "words", "size", "hashes"])
+
+        picked = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").cast("binary").alias("text")).where("text is not null").distinct()
+        found = stored(picked.mapInArrow(run, "item string, text binary, words long, size int, hashes array<long>"), "decontaminate-items")
+        total, sizes = found.agg(F.sum("words"), F.sort_array(F.collect_set("size"))).first()
+        self.sizes = list(sizes)  # at most as many as a window has words
+        count = max(2, math.ceil(total / BLOCK_WORDS))
+        dealt = found.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count)).cast("int"))
+        self.items = dealt.select("block", "item", "text")
+        self.index = stored(dealt.select(F.explode("hashes").alias("hash"), "block").distinct(), "decontaminate-windows")
+        self.bitmap = found.sparkSession.sparkContext.broadcast(self._bitmap(self.index.select("hash").distinct()))
+
+    @staticmethod
+    def _bitmap(hashes: DataFrame) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words, bits = _marks(batch.column(0).to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+        out = np.zeros(FILTER_BITS // 64, np.uint64)
+        found = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return out
+
+    def passed(self, texts: DataFrame) -> DataFrame:
+        """Rows (doc_id, mark, n_words, hashes, text) of rows (doc_id, mark, text): the marked hashes, and the text if there are any."""
+        window, sizes, bitmap = self.window, self.sizes, self.bitmap
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch, counts, marked, kept = whole.slice(at, 256), [], [], []
+                    for t in batch.column(2):
+                        words = words_of(t.as_py())
+                        hashes = np.unique(np.concatenate([*window_hashes(words, window, sizes), np.zeros(0, np.uint64)]))
+                        at_, bits = _marks(hashes)
+                        hashes = hashes[bitmap.value[at_] & bits == bits]
+                        counts.append(len(words))
+                        marked.append(hashes.view(np.int64))
+                        kept.append(t.as_py() if len(hashes) else None)
+                    columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(marked, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_words", "hashes", "text"])
+
+        return stored(texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, mark long, n_words long, hashes array<long>, text binary"), "decontaminate-passed")
+
+    def found(self, passed: DataFrame) -> DataFrame:
+        """Rows (mark, spans, items, longest) of each distinct text in which an item's window occurs."""
+        window = self.window
+        texts = passed.where("text is not null")
+        one = texts.groupBy("mark").agg(F.first("text").alias("text"))
+        goes = texts.select("mark", F.explode("hashes").alias("hash")).distinct().join(self.index, "hash").select("mark", "block").distinct()
+        salt = F.pmod("mark", F.lit(SALTS)).cast("int")
+        dealt = one.join(goes, "mark").select("block", salt.alias("salt"), F.lit(1).alias("kind"), "mark", F.lit(None).cast("string").alias("item"), "text")
+        items = self.items.select("block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mark"), "item", "text")
+        rows = items.unionByName(dealt).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, first, held, machine = None, None, [], None
+            for batch in batches:
+                out = []
+                for block, salt, kind, mark, item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if block != at:
+                        at, first, held, machine = block, salt, [], None
+                    if kind == 0:
+                        if salt == first:  # the same block under the next salt needs no second automaton
+                            held.append((item, words_of(text)))
+                        continue
+                    machine = machine or Automaton(held, window)
+                    spans, found, longest = machine.hits(words_of(text))
+                    if spans:
+                        out.append((mark, _structs(spans), list(found), longest))
+                kinds = [pa.int64(), _SPANS, pa.list_(pa.string()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["mark", "spans", "items", "longest"])
+
+        parts = rows.mapInArrow(run, "mark long, spans array<struct<start:int,end:int>>, items array<string>, longest long")
+        # a text has one row a block that it holds a window of
+        whole = parts.groupBy("mark").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                joined = []
+                for spans in batch.column(1).to_pylist():
+                    line: list[list[int]] = []
+                    for s in sorted(spans, key=lambda s: s["end"]):
+                        _add(line, s["start"], s["end"])
+                    joined.append(_structs(line))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, _SPANS), batch.column(2), batch.column(3)], ["mark", "spans", "items", "longest"])
+
+        return stored(whole.mapInArrow(merge, whole.schema), "decontaminate-found")
+
+
+def _structs(spans: Iterable) -> list[dict[str, int]]:
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+def _detector(items: DataFrame, item_id: str, text: str, window: int) -> Detector | Blocks:
+    """The items' one automaton, or their blocks if they are more than one block can hold."""
+    cut = blocks(items, item_id, text)
+    first = next(cut, [])
+    return Detector(items.sparkSession, first, window) if next(cut, None) is None else Blocks(items, item_id, text, window)
 
 
 def _verdict(n: int, spans: list[tuple[int, int]], share: int) -> tuple[int, bool]:
@@ -219,26 +368,35 @@ def report(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE
 ) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, spans), one for each row of docs."""
-    detector = Detector(docs.sparkSession, items, item_id, item_text, window)
+    detector = _detector(items, item_id, item_text, window)
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").cast("binary").alias("text"))
+    kind = picked.schema["doc_id"].dataType.simpleString()
+
+    def rows(batch: pa.RecordBatch, reports: Iterable[Found]) -> pa.RecordBatch:
+        out = []
+        for n, spans, found, longest in reports:
+            hit, bad = _verdict(n, spans, share)
+            ids = sorted(i for i in found if i is not None)
+            out.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad, longest if spans else 0, _structs(spans)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), _SPANS]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], list(_REPORT))
+
+    schema = f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in list(_REPORT.items())[1:])
+    if isinstance(detector, Detector):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield rows(batch, detector.reports(t.as_py() for t in batch.column(1)))
+
+        return picked.select("doc_id", "text").mapInArrow(run, schema)
+    passed = detector.passed(picked)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for n, spans, found, longest in detector.reports(batch.column(1).cast(pa.binary()).to_pylist()):
-                hit, bad = _verdict(n, spans, share)
-                ids = sorted(i for i in found if i is not None)
-                rows.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad, longest, [{"start": a, "end": b} for a, b in spans]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "spans"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
-
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(
-        run,
-        f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, spans array<struct<start:int,end:int>>",
-    )
+            n, spans, found, longest = (batch.column(k).to_pylist() for k in range(1, 5))
+            yield rows(batch, (Found(a, [(s["start"], s["end"]) for s in b or ()], set(c or ()), d or 0) for a, b, c, d in zip(n, spans, found, longest)))
+
+    return passed.join(detector.found(passed), "mark", "left").select("doc_id", "n_words", "spans", "items", "longest").mapInArrow(join, schema)
 
 
 def strip_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -262,21 +420,36 @@ def clean(
 
     Without strip, the texts of the rows that stay are unchanged. Other columns are kept as they are.
     """
-    detector = Detector(docs.sparkSession, items, item_id, item_text, window)
+    detector = _detector(items, item_id, item_text, window)
     place, schema = docs.columns.index(text), docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch, spans: Iterable[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts = [None if t is None else strip_spans(t, s).decode("utf-8", "replace") if s else t.decode("utf-8", "replace") for t, s in zip(batch.column(place).cast(pa.binary()).to_pylist(), spans)]
+        columns = [pa.array(texts, pa.string()).cast(c.type) if k == place else c for k, c in enumerate(batch.columns[: len(schema)])]
+        return pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+
+    if isinstance(detector, Detector):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(detector.reports(t.as_py() for t in batch.column(place).cast(pa.binary())))
+                yield cut(batch, [f.spans for f in found]) if strip else batch.filter(pa.array([not _verdict(f.words, f.spans, share)[1] for f in found], pa.bool_()))
+
+        return docs.mapInArrow(run, schema)
+    mark = F.xxhash64(F.col(text).cast("string"))
+    passed = detector.passed(docs.select(F.lit(None).cast("int").alias("doc_id"), mark.alias("mark"), F.col(text).cast("string").cast("binary").alias("text")))
+    found = detector.found(passed).join(passed.groupBy("mark").agg(F.first("n_words").alias("n_words")), "mark")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    if not strip:
+        bad = found.where((hit > 0) & (share * hit >= F.col("n_words"))).select(F.col("mark").alias("_mark"))
+        return docs.join(bad, mark == F.col("_mark"), "left_anti")
+
+    def strip_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).cast(pa.binary()).to_pylist()
-            found = detector.reports(texts)
-            if not strip:
-                yield batch.filter(pa.array([not _verdict(n, spans, share)[1] for n, spans, _, _ in found], pa.bool_()))
-                continue
-            cut = [strip_spans(t, f[1]).decode("utf-8", "replace") if f[1] else t and t.decode("utf-8", "replace") for t, f in zip(texts, found)]
-            columns = [pa.array(cut, pa.string()).cast(c.type) if k == place else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, schema)
+            yield cut(batch, [[(s["start"], s["end"]) for s in spans or ()] for spans in batch.column(len(schema)).to_pylist()])
+
+    spans = found.select(F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
+    return docs.join(spans, mark == F.col("_mark"), "left").select(*[docs[f"`{c}`"] for c in docs.columns], "_spans").mapInArrow(strip_found, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

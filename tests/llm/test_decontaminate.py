@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,3 +95,50 @@ def test_strip_removes_only_hit_words(spark, make_docs):
     for r, (_, t) in zip(out, rows):
         n, hit, *_ = slow(t, named)
         assert len(slow_words(r.text)) == n - hit and (hit or r.text == t)
+
+
+@pytest.mark.parametrize("strip", [False, True])
+def test_many_blocks_equal_one(spark, make_docs, monkeypatch, strip):
+    rnd = random.Random(17)
+    pool = [f"w{i}" for i in range(500)]
+    items = [(k, " ".join(rnd.choice(pool) for _ in range(rnd.choice([2, 7, 13, 14, 40])))) for k in range(120)]
+    rows = []
+    for i in range(150):
+        words = [rnd.choice(pool) for _ in range(rnd.randrange(120))]
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            words += rnd.choice(items)[1].split()
+        rows.append((i, " ".join(words)))
+    rows += [(900 + k, rows[3][1]) for k in range(60)] + [(1000, None), (1001, ""), (None, items[2][1])]
+    docs, bench = make_docs(rows).repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda df: sorted(((str(r[0]), *r[1:]) for r in df.drop("spans").collect()))
+    texts = lambda df: sorted(((str(r.doc_id), r.text) for r in df.collect()), key=str)
+    want, left = plain(D.report(docs, bench)), texts(D.clean(docs, bench, strip=strip))
+    monkeypatch.setattr(D, "BLOCK_WORDS", 100)
+    real = D.blocks
+    monkeypatch.setattr(D, "blocks", lambda a, b, c: real(a, b, c, 100))
+    detector = D._detector(bench, "item_id", "text", D.WINDOW)
+    assert isinstance(detector, D.Blocks) and detector.items.select("block").distinct().count() >= 20
+    assert plain(D.report(docs, bench)) == want
+    out = D.clean(docs, bench, strip=strip)
+    assert texts(out) == left and out.schema == docs.schema
+
+
+def test_a_task_builds_a_block_once(spark, monkeypatch):
+    """Counted on the rows that a task sees: items stand before the texts of their block."""
+    monkeypatch.setattr(D, "BLOCK_WORDS", 13)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(13))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = D.Blocks(bench, "item_id", "text", 13)
+    docs = spark.createDataFrame([(k, k, items[k % 40][1].encode() + f" tail{k}".encode()) for k in range(400)], "doc_id long, mark long, text binary")
+    passed = blocks.passed(docs)
+    assert blocks.items.select("block").distinct().count() >= 20
+    found = blocks.found(passed).collect()
+    assert len(found) == 400 and all(r["items"] == [str(r.mark % 40)] and [tuple(s) for s in r.spans] == [(0, 13)] and r.longest == 13 for r in found)
+
+
+def test_window_hashes_are_those_of_the_runs():
+    words = [f"w{i % 7}".encode() for i in range(30)]
+    one, three, far = D.window_hashes(words, 13, [1, 3, 31])
+    assert len(one) == 30 and len(three) == 28 and not len(far)
+    (again,) = D.window_hashes(words[5:8], 13, [3])
+    assert again[0] == three[5] and len(set(three.tolist())) == 7
