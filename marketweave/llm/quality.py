@@ -6,7 +6,7 @@ repetition), each taken from the line itself, the line before and the line after
 field has a weight for each bin and for each pair of neighbouring labels.
 
 Training: a bounded sample of labelled documents (TRAIN_DOCS documents and TRAIN_LINES
-lines at most, the first by a hash of the id) whose lines carry their document's label;
+lines at most, the first by a hash of the id, passing over those that no longer fit) whose lines carry their document's label;
 the conditional likelihood is climbed on the driver with exact forward-backward
 gradients. Scoring: forward-backward gives each line's chance of being good; their mean
 weighted by length is the document's quality, mapped to a probability by a two-parameter
@@ -216,28 +216,25 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not rows:
         return fit([], [])
     known = {r.doc_id: int(r.y > 0) for r in rows}
-    shared = docs.sparkSession.sparkContext.broadcast(known)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            take = [k for k, i in enumerate(ids) if i in known]
-            texts = batch.column(1).take(pa.array(take, pa.int64())).cast(pa.binary()).to_pylist()
-            found = [document_features(t) for t in texts]
-            # more lines of one document than the whole bound can't be used
-            columns = [pa.array([ids[k] for k in take], batch.column(0).type), pa.array([r[:max_lines].tobytes() for r, _ in found], pa.binary()), pa.array([n[:max_lines].tobytes() for _, n in found], pa.binary())]
+            found = [document_features(t.as_py()) for t in batch.column(1)]
+            # a document of more lines than the whole bound can't be used: one line more tells so
+            columns = [batch.column(0), pa.array([r[: max_lines + 1].tobytes() for r, _ in found], pa.binary()), pa.array([n[: max_lines + 1].tobytes() for _, n in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "bins", "lengths"])
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # at most max_docs ids are broadcast; only their texts leave the scan
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in known], f"doc_id {labels.schema[doc_id].dataType.simpleString()}")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     sample = texts.mapInArrow(run, f"doc_id {kind}, bins binary, lengths binary").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     documents, marks, lines = [], [], 0
     for r in sample.toLocalIterator():
         bins, lengths = np.frombuffer(r.bins, np.uint8).reshape(-1, KINDS), np.frombuffer(r.lengths, np.int64)
+        if lines + len(bins) > max_lines:
+            continue  # the bound is on all lines: a long document must not end the sample
         lines += len(bins)
-        if lines > max_lines:
-            break
         documents.append((bins, lengths))
         marks.append(known[r.doc_id])
     return fit(documents, marks)
