@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from marketweave.operators import bars, ingest, ml, technicals
 from marketweave.plans import adapters as A
 from marketweave.plans import marts, serve
 from marketweave.plans.adapters import with_
-from marketweave.plans.queries import END, query, rounded, screener
+from marketweave.plans.queries import END, SYMBOLS, query, rounded, screener
 from marketweave.schemas import OHLCV
 from marketweave.sources import filings, topics, universe
 from marketweave.sources.bars import StoredBarSource
@@ -136,7 +134,7 @@ def topic_round_trip(spark, d):
     return _ntz(topics.decode(spark.read.schema("key STRING, value STRING").json(folder), topics.BARS).drop("_ingested_at"), "ts")
 
 
-@query("ingest_run", with_("daily") + f"SELECT ticker AS symbol, day AS date, close AS \"Close\", DATE '{END}' AS end_date FROM daily WHERE ticker IN ('T01', 'T02', 'T03') AND day >= DATE '2000-01-01' AND day < DATE '{END}'")
+@query("ingest_run", with_("daily") + f"SELECT ticker AS symbol, day AS date, close AS \"Close\", DATE '{END}' AS end_date FROM daily WHERE day >= DATE '2000-01-01' AND day < DATE '{END}'")
 def ingest_run(spark, d):
     """The bar pipeline end to end: plan, scan, stamp, write, resume (the second run finds nothing new)."""
     stored = _parquet(spark, OHLCV.validate(A.landed_bars(spark, d)), "vendor")
@@ -144,7 +142,7 @@ def ingest_run(spark, d):
     sink = ingest.TableSink(scratch_path(spark, "warehouse"))
     source, state = StoredBarSource(spark, stored, config), ingest.LandingState(spark, sink.path(config.table))
     for _ in range(2):
-        ingest.BarPipeline(spark, source, state, sink, config, sleep=lambda s: None).run(["T01", "T02", "T03"], END)
+        ingest.BarPipeline(spark, source, state, sink, config, sleep=lambda s: None).run(SYMBOLS, END)
     return spark.read.parquet(sink.path(config.table)).select("symbol", "date", "Close", F.lit(END).alias("end_date"))
 
 
@@ -180,28 +178,35 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
     return marts.training_frame(store).select("ticker", "day", *ML_FEATURES, "forward_return_5")
 
 
+def _ranking(rows: DataFrame) -> DataFrame:
+    """Rows (feature, mean_abs): a model for each walk-forward fold, exact attributions on its test days, averaged over the folds."""
+    found = None
+    for fold in technicals.walk_forward_folds(rows).orderBy("fold").collect():  # a few folds
+        train, test = technicals.split_fold(rows, fold.train_until, fold.test_from, fold.test_until)
+        summary = ml.shap_summary(ml.attributions(test, ml.train_gbt(train, ML_FEATURES, "forward_return_5"), ML_FEATURES), ML_FEATURES)
+        found = summary if found is None else found.unionByName(summary)
+    return found.groupBy("feature").agg(F.avg("mean_abs").alias("mean_abs"))
+
+
 @query("shap_ranking")
 def shap_ranking(spark, d):
-    """Walk-forward training on the first fold, exact attributions on its test days, ranked."""
-    rows = _training(spark, d)
-    fold = technicals.walk_forward_folds(rows).where("fold = 1").first()
-    train, test = technicals.split_fold(rows, fold.train_until, fold.test_from, fold.test_until)
-    model = ml.train_gbt(train, ML_FEATURES, "forward_return_5", trees=5)
-    return ml.shap_summary(ml.attributions(test, model, ML_FEATURES), ML_FEATURES)
+    """The features ranked over all walk-forward folds."""
+    return _ranking(_training(spark, d))
 
 
 @query("selected_features")
 def selected_features(spark, d):
-    """The store cut to its most important features."""
+    """The store cut to the features that the ranking selects, with the predictions of a model retrained on these alone."""
     rows = _training(spark, d)
-    model = ml.train_gbt(rows.where(F.col("day") < F.lit(date(2000, 1, 1))), ML_FEATURES, "forward_return_5", trees=5)
-    found = ml.importances(model, ML_FEATURES)
-    return marts.feature_summary(rows, sorted(found, key=lambda c: (-found[c], c))[:3])
+    selected = ml.select_features(_ranking(rows), 3)
+    model = ml.train_gbt(rows, selected, "forward_return_5")
+    scored = model.transform(ml.filled(marts.feature_summary(rows, selected), selected))
+    return scored.select("ticker", "day", *selected, "prediction")
 
 
 @query("sentiment_model")
 def sentiment_model(spark, d):
-    """News labelled by a model that learned from a fifth of the items."""
+    """News labelled by a model that learned from all labelled items."""
     news = A.news(spark, d)
-    model = ml.train_sentiment(news.where(F.crc32(F.col("url").cast("binary")) % 5 == 0))
+    model = ml.train_sentiment(news)
     return ml.score_sentiment(news.select("url", "headline", "sentiment"), model).select("url", "sentiment", "predicted_sentiment")

@@ -24,7 +24,7 @@ SQL: dict[str, str] = {}
 FLOOR, END = date(1995, 1, 1), date(2001, 11, 5)
 STALE_FROM = date(2001, 10, 1)
 FIELDS = ("Close", "Volume")
-SYMBOLS = ("T00", "T01", "T02")
+SYMBOLS = tuple(f"T{k:02d}" for k in range(A.TICKERS))
 SINCE, UNTIL = date(1997, 1, 1), date(1997, 3, 31)
 CUT = datetime(1998, 1, 1)
 WEEK_END = date(2001, 11, 4)
@@ -130,21 +130,20 @@ def stamp(spark, d):
 
 
 def _wide(spark, d):
-    tidy = A.landed_bars(spark, d).where(F.col("symbol").isin(*SYMBOLS))
-    return reshape.tidy_to_wide(tidy, FIELDS, SYMBOLS)
+    return reshape.tidy_to_wide(A.landed_bars(spark, d), FIELDS, SYMBOLS)
 
 
 @query(
     "wide_to_long",
     with_("daily")
-    + f"SELECT g.day AS date, s.symbol, f.field, CASE f.field WHEN 'Close' THEN close ELSE volume END AS value FROM (SELECT DISTINCT day FROM daily WHERE ticker IN {SYMBOLS}) g "
+    + f"SELECT g.day AS date, s.symbol, f.field, CASE f.field WHEN 'Close' THEN close ELSE volume END AS value FROM (SELECT DISTINCT day FROM daily) g "
     + f"CROSS JOIN (SELECT unnest({list(SYMBOLS)}) AS symbol) s CROSS JOIN (SELECT unnest({list(FIELDS)}) AS field) f LEFT JOIN daily b ON b.ticker = s.symbol AND b.day = g.day",
 )
 def wide_to_long(spark, d):
     return reshape.wide_to_long(_wide(spark, d))
 
 
-@query("wide_to_tidy", with_("daily") + f'SELECT day AS date, ticker AS symbol, close AS "Close", volume AS "Volume" FROM daily WHERE ticker IN {SYMBOLS}')
+@query("wide_to_tidy", with_("daily") + 'SELECT day AS date, ticker AS symbol, close AS "Close", volume AS "Volume" FROM daily')
 def wide_to_tidy(spark, d):
     return reshape.long_to_tidy(reshape.wide_to_long(_wide(spark, d)), FIELDS)
 

@@ -132,16 +132,17 @@ def decisions(bars: DataFrame, score: Callable[[DataFrame], DataFrame], path: st
     return _start(bars.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
-def in_session(at, opens: str = "14:30", closes: str = "21:00"):
-    """Whether a UTC time is within a weekday's market hours."""
-    clock = F.date_format(at, "HH:mm")
-    return ~F.dayofweek(at).isin(1, 7) & (clock >= opens) & (clock < closes)
+def in_session(at, opens: str = "09:30", closes: str = "16:00", zone: str = "America/New_York"):
+    """Whether a UTC time is within a weekday's market hours, which follow the exchange's own clock."""
+    there = F.from_utc_timestamp(at, zone)
+    clock = F.date_format(there, "HH:mm")
+    return ~F.dayofweek(there).isin(1, 7) & (clock >= opens) & (clock < closes)
 
 
 def missing_minutes(bars: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Rows (ticker, ts) of session minutes without a bar: what a backfill has to fetch."""
-    minutes = bars.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 MINUTE"))).alias("ts")).where(F.col("ts") < F.lit(end)).where(in_session(F.col("ts")))
-    grid = bars.select("ticker").distinct().withColumn("_k", F.lit(1)).join(minutes.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    minutes = F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 MINUTE"))).alias("ts")
+    grid = bars.select("ticker").distinct().select("ticker", minutes).where((F.col("ts") < F.lit(end)) & in_session(F.col("ts")))
     return grid.join(bars.select("ticker", F.date_trunc("minute", "ts").alias("ts")), ["ticker", "ts"], "left_anti")
 
 

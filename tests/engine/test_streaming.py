@@ -111,3 +111,9 @@ def test_gaps(spark):
     out = flows.missing_minutes(b, START, START + timedelta(minutes=4))
     assert sorted(r.ts.minute for r in out.collect()) == [1, 3]
     assert flows.missing_minutes(b, datetime(2024, 1, 6, 15), datetime(2024, 1, 6, 16)).count() == 0
+
+
+def test_session_follows_new_york_in_both_halves_of_the_year(spark):
+    rows = [("2024-07-01 13:45:00", True), ("2024-07-01 20:30:00", False), ("2024-07-01 13:29:00", False), ("2024-01-08 14:29:00", False), ("2024-01-08 14:30:00", True), ("2024-01-08 20:59:00", True), ("2024-01-08 21:00:00", False), ("2024-07-06 15:00:00", False)]
+    df = spark.createDataFrame(rows, "at string, open boolean").withColumn("at", F.col("at").cast("timestamp"))
+    assert df.where(flows.in_session(F.col("at")) != F.col("open")).count() == 0
