@@ -40,15 +40,16 @@ all links are true ones; a pair is missed only if no segment agrees.
 
 There each segment's sets are first linked to their smallest one (a star, not all
 pairs; of a set's stars only the nearest is compared by its shingles), which joins nearly every
-large group. Only what is then in another component than the most frequent one of its segment is compared with the
-segment's other members. Texts without words are one set; texts that differ in
+large group. Only what is then in another component than the most frequent one of its segment is compared with all of the
+segment's other members, in blocks where they are many, so that no pair of a large group becomes a row. (Among texts that are
+all just below the similarity, these comparisons grow with the square of their number.) Texts without words are one set; texts that differ in
 white space or case only are equal; ids may repeat, rows are told apart by id and text.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -71,10 +72,13 @@ BLOCK = 65_536
 
 WORDS = 5
 SIMILARITY = 0.8
-MISS = 0.05  # chance that a pair at the very similarity shares no segment
+MISS = 0.1  # chance that a pair at the very similarity shares no segment
 RATIO = 0.25  # of a chain's bits may differ: well above what similar sets differ in, well below a half
 LEAST_SEGMENT, MOST_SEGMENT = 12, 40
+FEW_SHINGLES = 64  # below so many, a set's bits stray too far from their chances for a closer limit than RATIO
 BROADCAST_BYTES = 64 << 20
+PAIRED = 32  # sets under one segment up to which those left apart are compared as rows, else in blocks
+BLOCK_SETS = 256
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -223,14 +227,24 @@ class Layout(NamedTuple):
     words: int
     similarity: float
 
+    def farthest(self) -> tuple[int, int]:
+        """Differing bits of similar sets: at most so many for small sets; and for others (3 deviations above the mean)."""
+        most, size = int(RATIO * BITS * self.words), BITS * self.words
+        differ = 1 - agreement(self.similarity)
+        return most, min(most, math.ceil(size * differ + 3 * math.sqrt(size * differ * (1 - differ))))
+
+
+def agreement(similarity: float) -> float:
+    """The least chance that a bit agrees for sets of a Jaccard similarity: their cosine is 2 s / (1 + s) at least."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
 
 def layout(rows: int, similarity: float = SIMILARITY, miss: float = MISS) -> Layout:
     """Segments as long as log2 of the rows, so that unlike texts meet about once; as many of them as ``miss`` asks for.
 
-    Sets of Jaccard similarity s have a cosine of 2 s / (1 + s) at least; a bit agrees with
-    the chance 1 - angle / pi, a segment with that chance to the power of its bits.
+    A segment agrees with the chance of a bit to the power of its bits.
     """
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    agree = agreement(similarity)
     bits = min(MOST_SEGMENT, max(LEAST_SEGMENT, math.ceil(math.log2(max(rows, 2)))))
     segments = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     return Layout(bits, BITS // bits, math.ceil(segments / (BITS // bits)), similarity)
@@ -270,23 +284,45 @@ def wide_fingerprint(grams: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shape: Layout, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS) -> DataFrame:
-    """Rows (doc_id, mark, sid, n, fp, grams): the text's hash, its shingle set's hash and size, fingerprint and set."""
+    """Rows (doc_id, mark, sid, n, fp): the text's hash, its shingle set's hash and size, and the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = [shingle_set(t, shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-                sids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                prints = [wide_fingerprint(s, shape.words) for s in sets]
-                columns = [
-                    batch.column(0), batch.column(1), pa.array(sids), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(prints, pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "n", "fp", "grams"])
+                sids, sizes, prints = [], [], []
+                for t in batch.column(2):
+                    grams = shingle_set(t.as_py(), shingle)
+                    sids.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+                    sizes.append(len(grams))
+                    prints.append(wide_fingerprint(grams, shape.words))
+                columns = [batch.column(0), batch.column(1), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "n", "fp"])
+
+    picked = docs.select(F.col(doc_id).alias("doc_id"), text_mark(text).alias("mark"), F.col(text).cast("string").cast("binary").alias("text"))
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, mark long, sid long, n long, fp array<long>")
+
 
-    picked = docs.select(F.col(doc_id).alias("doc_id"), text_mark(text).alias("mark"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, mark long, sid long, n long, fp array<long>, grams array<long>")
+def _grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """Rows (sid, grams): the shingle sets of the rows (sid, doc_id, mark) wanted, from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                grams = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["sid", "grams"])
+
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").cast("binary").alias("text"), text_mark(text).alias("_mark"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark"))
+    found = texts.join(_small(wanted, "doc_id"), same).select("sid", "text").mapInArrow(run, "sid long, grams array<long>")
+    return found.groupBy("sid").agg(F.first("grams").alias("grams"))  # equal rows give equal sets
+
+
+def _small(rows: DataFrame, doc_id: str) -> DataFrame:
+    """The stored rows, to be broadcast if they are within BROADCAST_BYTES."""
+    size = rows.agg(F.sum(F.octet_length(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) + 48)).first()[0]
+    return F.broadcast(rows) if (size or 0) <= BROADCAST_BYTES else rows
 
 
 def text_mark(text: str) -> Column:
@@ -320,46 +356,103 @@ def _close(pairs: DataFrame, sets: DataFrame, shape: Layout) -> DataFrame:
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     far = reduce(lambda x, y: x + y, [F.bit_count(F.col("fu")[k].bitwiseXOR(F.col("fv")[k])) for k in range(shape.words)])
     sized = F.least("nu", "nv") >= shape.similarity * F.greatest("nu", "nv") - 1e-9
-    return both.where(sized).select("u", "v", far.alias("far")).where(F.col("far") <= int(RATIO * BITS * shape.words))
+    small, large = shape.farthest()
+    limit = F.when(F.least("nu", "nv") < FEW_SHINGLES, small).otherwise(large)
+    return both.where(sized).select("u", "v", far.alias("far"), limit.alias("limit")).where("far <= limit").drop("limit")
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, shape: Layout) -> DataFrame:
-    """Rows (u, v) of the pairs whose shingle sets have the Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    grams = prints.select("sid", "grams").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
-    grams = stored(grams, "simhash-grams")
+def _similar(pairs: DataFrame, sets: DataFrame, grams_of: Callable[[DataFrame], DataFrame], shape: Layout) -> DataFrame:
+    """Rows (u, v) of the pairs whose shingle sets have the Jaccard similarity; grams_of makes the sets."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(sets, "sid").select("sid", "best.doc_id", "best.mark")
+    grams = stored(grams_of(stored(wanted, "simhash-wanted")), "simhash-grams")
     side = lambda n: grams.select(F.col("sid").alias(n), F.col("grams").alias(f"g{n}"))
     common = F.size(F.array_intersect("gu", "gv"))
     enough = common * (1 + shape.similarity) >= shape.similarity * (F.size("gu") + F.size("gv")) - 1e-9
     return pairs.join(side("u"), "u").join(side("v"), "v").where(enough).select("u", "v")
 
 
-def set_links(prints: DataFrame, sets: DataFrame, shape: Layout) -> DataFrame:
+def set_links(sets: DataFrame, grams_of: Callable[[DataFrame], DataFrame], shape: Layout) -> DataFrame:
     """Rows (u, v), u < v, of similar sets; every similar pair that shares a segment is connected by them."""
     keyed = _segments(sets, shape)
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "word")).alias("least")).where("size > 1")
-    sized = keyed.join(buckets, "key").select("key", "sid", "word", "size", F.col("least.sid").alias("rep"), F.col("least.word").alias("rep_word"))
-    sized = stored(sized, "simhash-segments")
-    star = sized.where((F.col("sid") != F.col("rep")) & _within_ring(F.col("word"), F.col("rep_word"), F.col("key"), shape))
+    sized = keyed.join(buckets, "key").where("sid <> least.sid").withColumn("star", _within_ring(F.col("word"), F.col("least.word"), F.col("key"), shape))
+    sized = stored(sized.where("star or size > 2").select("key", "sid", "word", "size", F.col("least.sid").alias("rep"), "star"), "simhash-segments")
+    star = sized.where("star")
     near = stored(_close(star.select(F.col("rep").alias("u"), F.col("sid").alias("v")).distinct(), sets, shape), "simhash-star")
     nearest = near.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
-    first = stored(_similar(nearest, prints, shape), "simhash-first")
+    first = stored(_similar(nearest, sets, grams_of, shape), "simhash-first")
     roots = components(first)
     root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
     # what the stars left apart: other components of a segment against all its members
-    held = sized.where("size > 2").join(root("sid", "root"), "sid", "left").select("key", "sid", "word", "rep", F.coalesce("root", "sid").alias("root"))
+    held = sized.where("size > 2").join(root("sid", "root"), "sid", "left").select("key", "sid", "word", F.coalesce("root", "sid").alias("root"))
     held = stored(held, "simhash-held")
-    counts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    mixed = held.join(counts.where("roots > 1").drop("roots"), "key")
-    others = mixed.where("root <> main and sid <> rep").select("key", F.col("sid").alias("a"), F.col("word").alias("wa"), F.col("root").alias("ra"))
-    members = mixed.where("sid <> rep").select("key", F.col("sid").alias("b"), F.col("word").alias("wb"), F.col("root").alias("rb"), "main")
+    discard(sized)
+    counts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
+    mixed = stored(held.join(counts.where("most < all"), "key"), "simhash-mixed")
+    discard(held)
+    others = mixed.where("root <> main").select("key", F.col("sid").alias("a"), F.col("word").alias("wa"), F.col("root").alias("ra"))
+    members = mixed.where(F.col("all") <= PAIRED).select("key", F.col("sid").alias("b"), F.col("word").alias("wb"), F.col("root").alias("rb"), "main")
     apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
     cross = others.join(members, "key").where(apart & _within_ring(F.col("wa"), F.col("wb"), F.col("key"), shape))
     cross = _close(cross.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), sets, shape).select("u", "v")
     left = near.join(nearest, ["u", "v"], "left_anti").join(root("u", "ru"), "u", "left").join(root("v", "rv"), "v", "left")
     left = left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    more = _similar(stored(cross.unionByName(left).distinct(), "simhash-more"), prints, shape)
-    return first.unionByName(more)
+    more = _similar(stored(cross.unionByName(left).distinct(), "simhash-more"), sets, grams_of, shape)
+    return first.unionByName(more).unionByName(_blocks(mixed.where(F.col("all") > PAIRED), sets, grams_of, shape))
+
+
+def _blocks(mixed: DataFrame, sets: DataFrame, grams_of: Callable[[DataFrame], DataFrame], shape: Layout) -> DataFrame:
+    """Rows (u, v) that link different components of large segments: each set outside the main one against all members.
+
+    Both sides are cut into blocks, and a task holds one block of either; no pair becomes a row unless it links
+    two components that the block has not linked yet. A pair is compared only under the first segment that it shares.
+    """
+    if mixed.isEmpty():
+        return mixed.select(F.col("sid").alias("u"), F.col("sid").alias("v"))
+    wanted = mixed.select("sid").distinct().join(sets, "sid")
+    grams = grams_of(stored(wanted.select("sid", "best.doc_id", "best.mark"), "simhash-wanted"))
+    wide = stored(wanted.select("sid", "n", "fp").join(grams, "sid"), "simhash-grams")
+    across, down = F.ceil(F.col("all") / BLOCK_SETS), F.ceil((F.col("all") - F.col("most")) / BLOCK_SETS)
+    place = lambda n: F.pmod(F.xxhash64("sid"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = mixed.where("root <> main").select("key", place(down).alias("i"), every(across).alias("j"), F.lit(True).alias("own"), "sid", "root", "main")
+    all_ = mixed.select("key", place(across).alias("j"), every(down).alias("i"), F.lit(False).alias("own"), "sid", "root", "main")
+    rows = own.unionByName(all_).join(wide, "sid")
+    small, large = shape.farthest()
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = np.array(group.column("own").to_pylist(), bool)
+        sid, root, n = (group.column(c).to_numpy() for c in ("sid", "root", "n"))
+        key, main = group.column("key")[0].as_py(), group.column("main")[0].as_py()
+        fp = np.array(group.column("fp").to_pylist(), np.int64).view(np.uint64)
+        cuts = np.arange(shape.per, dtype=np.uint64) * np.uint64(shape.bits)
+        segments = ((fp[:, :, None] >> cuts) & np.uint64((1 << shape.bits) - 1)).reshape(len(fp), -1)
+        table, held, joined, out = key >> shape.bits, group.column("grams"), {}, []
+
+        def top(r: int) -> int:
+            while joined.get(r, r) != r:
+                r = joined[r]
+            return r
+
+        all_ = np.flatnonzero(~side)
+        for a in np.flatnonzero(side).tolist():
+            far = np.bitwise_count(fp[all_] ^ fp[a]).sum(axis=1, dtype=np.int64)
+            limit = np.where(np.minimum(n[all_], n[a]) < FEW_SHINGLES, small, large)
+            fits = np.minimum(n[all_], n[a]) >= shape.similarity * np.maximum(n[all_], n[a]) - 1e-9
+            near = (far <= limit) & fits & (root[all_] != root[a]) & ((root[all_] == main) | (sid[a] < sid[all_]))
+            at = all_[near][np.argsort(far[near], kind="stable")]
+            at = at[~(segments[at, :table] == segments[a, :table]).any(axis=1)]
+            mine = held[a].values.to_numpy() if len(at) else None
+            for b in at.tolist():
+                x, y = top(int(root[a])), top(int(root[b]))
+                if x != y:
+                    common = len(np.intersect1d(mine, held[b].values.to_numpy(), assume_unique=True))
+                    if common * (1 + shape.similarity) >= shape.similarity * (n[a] + n[b]) - 1e-9:
+                        joined[x] = y
+                        out.append(sorted((int(sid[a]), int(sid[b]))))
+        return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
@@ -374,7 +467,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = stored(sketches(docs, shape, doc_id, text, shingle), "simhash-sets")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")).alias("best")
     sets = stored(prints.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), best), "simhash-distinct")
-    roots = components(set_links(prints, sets, shape))
+    roots = components(set_links(sets, lambda wanted: _grams(docs, wanted, doc_id, text, shingle), shape))
     named = sets.select("sid", "best").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = stored(named, "simhash-roots")
     chosen = named.groupBy("root").agg(F.min("best").alias("chosen"))
@@ -393,12 +486,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     found = similar_groups(docs, doc_id, text, shingle, similarity)
     listed = found.groupBy("doc_id", "mark").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1")
     listed = stored(listed.select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept")), "simhash-listed")
-    size, again = listed.agg(F.sum(F.octet_length(F.coalesce(F.col("_doc_id").cast("string"), F.lit(""))) + 32), F.count_if("_kept")).first()
-    small = (lambda df: F.broadcast(df)) if (size or 0) <= BROADCAST_BYTES else (lambda df: df)
     same = docs[doc_id].eqNullSafe(F.col("_doc_id")) & (text_mark(text) == F.col("_mark"))
-    out = docs.join(small(listed), same, "left_anti")
-    if again:
-        repeated = docs.join(small(listed.where("_kept")), same, "left_semi")
+    out = docs.join(_small(listed, "_doc_id"), same, "left_anti")
+    if not listed.where("_kept").isEmpty():
+        repeated = docs.join(_small(listed.where("_kept"), "_doc_id"), same, "left_semi")
         columns = [F.col(f"`{c}`") for c in docs.columns]
         order = F.xxhash64(*[F.to_json(F.struct(c)) if _has_map(f.dataType) else c for c, f in zip(columns, docs.schema)])
         one = repeated.groupBy(F.col(f"`{doc_id}`").alias("_id"), text_mark(text).alias("_mark")).agg(F.min_by(F.struct(*columns), order).alias("row"))

@@ -184,14 +184,26 @@ def test_one_large_group_of_near_copies_and_what_stands_apart(spark):
     assert len({got[i] for i, _ in rows if i < 10_000}) == 1
 
 
+def test_blocks_link_what_pairs_link(spark, monkeypatch):
+    rows = near_copies(6, 2, 70, 14, 90)  # most copies are just above or below the similarity
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "layout", lambda *a: S.Layout(8, 8, 12, 0.8))
+    want = held_against_slow(spark, rows, 0.95)
+    monkeypatch.setattr(S, "PAIRED", 2)
+    monkeypatch.setattr(S, "BLOCK_SETS", 10)
+    assert {r.doc_id: r.component_id for r in S.similar_groups(df).collect()} == want
+
+
 def test_keep_one_decides_by_row(spark):
     rnd = random.Random(8)
     a, b = ([f"w{rnd.randrange(10**5)}" for _ in range(80)] for _ in range(2))
     near, other = edited(rnd, a, 1), " ".join(b)
     rows = [(3, " ".join(a)), (5, near), (5, other)]
-    for k in range(3):
-        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string")
-        assert sorted((r.doc_id, r.text) for r in S.keep_one(df).collect()) == [(3, rows[0][1]), (5, other)]
+    orders = [(20 * k, [0, 1, 2][k:] + [0, 1, 2][:k]) for k in range(3)]  # each in its own words, all in one table
+    turned = lambda t, k: " ".join(f"{w}t{k}" for w in t.split())
+    table = [(rows[x][0] + by, turned(rows[x][1], by)) for by, order in orders for x in order]
+    got = sorted((r.doc_id, r.text) for r in S.keep_one(spark.createDataFrame(table, "doc_id long, text string").coalesce(1)).collect())
+    assert got == [(i + by, turned(t, by)) for by, _ in orders for i, t in (rows[0], rows[2])]
     rows += [(5, other), (None, near), (None, "only here"), (None, "only here"), (7, None), (8, " \n"), (9, "ONLY here")]
     df = spark.createDataFrame([(i, t, {"k": "v"}, "x", "y") for i, t in rows], "doc_id long, text string, extra map<string,string>, mark string, _kept string")
     kept = S.keep_one(df)
