@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from marketweave.llm.bpe import Vocabulary, default_model, vocabulary
 from marketweave.llm.common import table
 
-MAX_KNOWN = 250_000
+MAX_KNOWN = 120_000
 MAX_PAIRS = 300_000
 INDEX_CHARS = 200_000
 HELD_WORDS = 200_000
@@ -45,7 +45,7 @@ ROWS_OUT = 512
 LONG = 64
 FEW = 16
 SCALARS = 20_000
-SLOTS = 22
+SLOTS = 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _END = 0x110000
 
