@@ -11,10 +11,12 @@ folder. Classes come in two steps:
   one unit after another to the class that most raises the class-bigram likelihood, until
   no move helps or SWEEPS are over.
 * All other training words, each by itself. The classes before and after every occurrence are
-  summed by word in Spark, and each word moves to the class under which these
+  brought together by word in Spark, and each word moves to the class under which these
   neighbours and the word itself are likeliest, the seeds' class bigrams being held fixed: one block
   of distributed exchange moves. The table of classes has a row for every such word, so it grows
-  with the corpus. Only words unseen in training keep the class of their ending.
+  with the corpus. Only words unseen in training keep the class of their ending. Words of the head
+  with at least HOT occurrences are summed as (word, side and class) counts, so no row holds all the
+  neighbours of a frequent word.
 
 The class bigrams of the model are then counted anew over all training texts.
 
@@ -24,10 +26,12 @@ set free is the chance of an unknown word. The end of a text is a class of its o
 context of the first word.
 
 Texts are coded as a class for each word in one pass with a broadcast of fixed size: the HEAD
-most frequent words (of at most WORD_BYTES bytes) with their counts and classes. Words outside the
-head are joined with the table of classes (a shuffle by word; none of these words
-is frequent in training, and Spark splits a partition that a word outside training makes
-large) and put in their places by text. Bigrams and scores are read off the codes.
+most frequent words with their counts and classes, cut by a hash among words of about equal
+count. Words of more than WORD_BYTES bytes go by a digest of 17 bytes that begins with a space, which
+no word holds, so that they take part whatever their length. Words outside the head are joined with
+the table of classes (a shuffle by word; none of these words is frequent in training,
+and Spark splits a partition that a word outside training makes large) and put in
+their places by text. Bigrams and scores are read off the codes.
 
 Defined cases: null and empty texts are one end token; repeated rows each get a row; a
 null doc_id is hashed as the empty text for its fold; without training texts every token
@@ -36,6 +40,7 @@ has log10 probability 0 in both models (one type); other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -46,10 +51,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import crc_mod, lower_words, stored, table
+from marketweave.llm.common import crc_mod, discard, lower_words, stored, table
 
 FOLDS, HELD = 5, 1
 UNITS = 1535
@@ -63,15 +68,28 @@ SWEEPS = 8
 PRIOR = 20.0
 DISCOUNT = 0.5
 HEAD = 262_144
+CELLS = 65_536
+HOT = 4_096
 WORD_BYTES = 64
 FLUSH = 250_000
 CODES = 1 << 20
 UNKNOWN = 64  # flag beside a class in the code of a word unseen in training
 
 
+def short(word: bytes) -> bytes:
+    """The word, or the digest that a long one goes by."""
+    return word if len(word) <= WORD_BYTES else b" " + hashlib.md5(word).digest()
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a text, long ones as their digests."""
+    words = lower_words(text)
+    return list(map(short, words)) if words and max(map(len, words)) > WORD_BYTES else words
+
+
 def unit_bin(word: bytes) -> int:
     """Place of the word's bin, from the end: the same whatever the number of words before the bins."""
-    return -2 - zlib.crc32(word[-ENDING:]) % BINS
+    return -2 - zlib.crc32(short(word)[-ENDING:]) % BINS
 
 
 class Units(dict):
@@ -96,7 +114,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(lower_words(t))
+                counts.update(words_of(t))
                 if len(counts) >= FLUSH:
                     yield from out()
         yield from out()
@@ -121,7 +139,7 @@ def count_unit_pairs(texts: DataFrame, words: list[bytes]) -> np.ndarray:
 
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                codes.extend(map(units.__getitem__, lower_words(t)))
+                codes.extend(map(units.__getitem__, words_of(t)))
                 codes.append(END_UNIT)  # the next text begins after an end
                 if len(codes) >= CODES:
                     add()
@@ -217,6 +235,7 @@ class Classes(NamedTuple):
     words: list[bytes]  # the head
     counts: np.ndarray
     cls: np.ndarray  # class of each word of the head
+    inside: Column  # over columns word and n: the word is one of the head
     table: DataFrame  # rows (word, n, cls) of every training word but the seeds
 
 
@@ -245,24 +264,30 @@ class Model:
         return self._named[1]
 
 
-def head_of(vocab: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent short words, at most HEAD, by count.
+def head_of(vocab: DataFrame) -> tuple[list[bytes], np.ndarray, Column]:
+    """The most frequent words, at most HEAD, by count, and the condition that a word is one of them.
 
-    A histogram of counts by sixteenths of an octave gives the least count that keeps
-    within HEAD, so nothing is sorted and only the head itself reaches the driver.
+    A histogram of counts by sixteenths of an octave gives the bins that fit whole. The bin that
+    HEAD falls into gives the words of its first hash cells, as many as fit (all but less than
+    a cell of them), however many words share a count. So nothing is sorted and only the
+    head itself reaches the driver.
     """
-    short = vocab.where(F.octet_length("word") <= WORD_BYTES).withColumn("bin", F.floor(F.log2("n") * 16))
-    cut, kept = None, 0
-    for r in sorted(short.groupBy("bin").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+    size, cell = F.floor(F.log2("n") * 16), F.pmod(F.xxhash64("word"), F.lit(CELLS))
+    inside, kept = F.lit(False), 0
+    for r in sorted(vocab.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
         if kept + r.words > HEAD:
+            cells, cut = vocab.where(size == r.size).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("words")).collect(), 0
+            for c in sorted(cells):  # at most CELLS rows
+                if kept + c.words > HEAD:
+                    break
+                cut, kept = c.cell + 1, kept + c.words
+            inside = inside | ((size == r.size) & (cell < cut))
             break
-        cut, kept = r.bin, kept + r.words
-    if cut is None:
-        return [], np.zeros(0, np.int64)
-    found = short.where(F.col("bin") >= cut).select("word", "n").toArrow()
+        inside, kept = size >= r.size, kept + r.words
+    found = vocab.where(inside).select("word", "n").toArrow()
     words, counts = found.column("word").to_pylist(), found.column("n").to_numpy()
     order = sorted(range(len(words)), key=lambda k: (-counts[k], words[k]))
-    return [words[k] for k in order], counts[order].astype(np.int64)
+    return [words[k] for k in order], counts[order].astype(np.int64), inside
 
 
 def _smoothed(pairs: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -270,40 +295,61 @@ def _smoothed(pairs: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return (pairs + PRIOR * mass / max(mass.sum(), 1.0)) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
 
 
-def neighbours(texts: DataFrame, seeds: list[bytes], of: np.ndarray) -> DataFrame:
-    """Rows (word, around) of all words but the seeds: a class byte before and one after each occurrence, in lists."""
-    shared = texts.sparkSession.sparkContext.broadcast((seeds, of.astype(np.uint8)))
+def neighbours(texts: DataFrame, seeds: list[bytes], hot: list[bytes], of: np.ndarray) -> DataFrame:
+    """Rows of all words but the seeds, several for a word: (word, around), a class byte before and one after each
+    occurrence, in a row; for hot words (word, cell, n), how often a class stands on a side (cell: class, CLASSES more after it).
+    """
+    by_ending = [of[unit_bin(w)] for w in hot]
+    full = np.concatenate([of[: len(seeds)], np.array(by_ending, of.dtype), of[UNITS:]]).astype(np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast((seeds + hot, len(seeds), full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, of = shared.value
+        names, first, of = shared.value
         units = Units((w, i) for i, w in enumerate(names))
         around: defaultdict[bytes, bytearray] = defaultdict(bytearray)
+        cells: list[np.ndarray] = []
         end, seen = bytes([END_CLASS]), 0
 
+        def rows(words: list[bytes], cell: list, n: list, near: list) -> pa.RecordBatch:
+            columns = [pa.array(words, pa.binary()), pa.array(cell, pa.int32()), pa.array(n, pa.int64()), pa.array(near, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["word", "cell", "n", "around"])
+
         def out() -> Iterator[pa.RecordBatch]:
             items = list(around.items())
             around.clear()
             for a in range(0, len(items), 50_000):
                 part = items[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([bytes(x) for _, x in part], pa.binary())], ["word", "around"])
+                none = [None] * len(part)
+                yield rows([w for w, _ in part], none, none, [bytes(x) for _, x in part])
+            if cells:
+                codes, n = np.unique(np.concatenate(cells), return_counts=True)
+                cells.clear()
+                for a in range(0, len(codes), 50_000):
+                    part = codes[a : a + 50_000]
+                    words = [names[k] for k in (part // (2 * CLASSES)).tolist()]
+                    yield rows(words, (part % (2 * CLASSES)).tolist(), n[a : a + 50_000].tolist(), [None] * len(part))
 
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                words = lower_words(t)
+                words = words_of(t)
                 u = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
                 line = end + of[u].tobytes() + end
                 for k in np.flatnonzero(u < 0).tolist():
                     around[words[k]] += line[k : k + 3 : 2]
+                at = np.flatnonzero(u >= first)
+                if len(at):
+                    near, base = np.frombuffer(line, np.uint8), u[at] * (2 * CLASSES)
+                    cells += [base + near[at], base + CLASSES + near[at + 2]]
                 seen += len(words)
                 if len(around) >= FLUSH or seen >= 4 * CODES:
                     yield from out()
                     seen = 0
         yield from out()
 
-    return texts.select("text").mapInArrow(run, "word binary, around binary").groupBy("word").agg(F.collect_list("around").alias("around"))
+    return texts.select("text").mapInArrow(run, "word binary, cell int, n long, around binary")
 
 
-def assign(around: DataFrame, pairs: np.ndarray) -> DataFrame:
+def assign(near: DataFrame, pairs: np.ndarray) -> DataFrame:
     """Rows (word, n, cls): for each word the class that makes it and its neighbours likeliest, the class bigrams fixed."""
     mass = pairs.sum(axis=0)
     with np.errstate(divide="ignore"):
@@ -311,37 +357,56 @@ def assign(around: DataFrame, pairs: np.ndarray) -> DataFrame:
         weight = np.where(mass > 0, np.log(np.maximum(mass, 1.0)), np.inf)
     weight[END_CLASS] = np.inf
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 4096):
-                batch = whole.slice(a, 4096)
-                lines = [b"".join(x) for x in batch.column(1).to_pylist()]
-                n = np.fromiter(map(len, lines), np.int64, len(lines)) // 2
-                codes = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, 2)
-                at = np.repeat(np.arange(len(lines)) * CLASSES, n)
-                before, after = (np.bincount(at + codes[:, k], minlength=len(lines) * CLASSES).reshape(-1, CLASSES) for k in (0, 1))
-                chance = before @ move + after @ move.T - n[:, None] * weight
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(chance.argmax(axis=1).astype(np.int32))], ["word", "n", "cls"])
-
-    return around.mapInArrow(run, "word binary, n long, cls int")
+    def from_lists(batch: pa.RecordBatch) -> np.ndarray:
+        lines = [b"".join(x) for x in batch.column(1).to_pylist()]
+        n = np.fromiter(map(len, lines), np.int64, len(lines)) // 2
+        codes = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, 2)
+        at = np.repeat(np.arange(len(lines)) * CLASSES, n)
+        return np.stack([np.bincount(at + codes[:, k], minlength=len(lines) * CLASSES).reshape(-1, CLASSES) for k in (0, 1)], axis=1)
+
+    def from_cells(batch: pa.RecordBatch) -> np.ndarray:
+        sides = np.zeros((batch.num_rows, 2 * CLASSES), np.int64)
+        for k, found in enumerate(batch.column(1).to_pylist()):
+            for c in found:
+                sides[k, c["cell"]] = c["n"]
+        return sides.reshape(-1, 2, CLASSES)
+
+    def moved(gathered: DataFrame, sides_of) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for a in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(a, 4096)
+                    sides = sides_of(batch)
+                    n = sides[:, 0].sum(axis=1)
+                    chance = sides[:, 0] @ move + sides[:, 1] @ move.T - n[:, None] * weight
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(chance.argmax(axis=1).astype(np.int32))], ["word", "n", "cls"])
+
+        return gathered.mapInArrow(run, "word binary, n long, cls int")
+
+    lists = near.where("around is not null").groupBy("word").agg(F.collect_list("around").alias("around"))
+    cells = near.where("cell is not null").groupBy("word", "cell").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return moved(lists, from_lists).unionByName(moved(cells, from_cells))
 
 
 def classify(texts: DataFrame, vocab: DataFrame) -> Classes:
     """A class for every training word; vocab: rows (word, n) of all of them."""
-    words, counts = head_of(vocab)
+    words, counts, inside = head_of(vocab)
     seeds = words[:UNITS]
+    hot = words[len(seeds) : max(len(seeds), int((counts >= HOT).sum()))]
     matrix = count_unit_pairs(texts, seeds)
     of, _ = exchange(matrix)
-    hot = np.zeros((ALL, CLASSES))
-    hot[np.arange(ALL), of] = 1.0
-    table = stored(assign(neighbours(texts, seeds, of), hot.T @ matrix @ hot), "classlm-classes")
+    ones = np.zeros((ALL, CLASSES))
+    ones[np.arange(ALL), of] = 1.0
+    near = stored(neighbours(texts, seeds, hot, of), "classlm-neighbours")
+    table = stored(assign(near, ones.T @ matrix @ ones), "classlm-classes")
+    discard(near)
     cls = np.zeros(len(words), np.int64)
     cls[: len(seeds)] = of[: len(seeds)]
     if len(words) > len(seeds):
-        found = table.where((F.col("n") >= int(counts[-1])) & (F.octet_length("word") <= WORD_BYTES)).select("word", "cls").toArrow()
+        found = table.where(inside).select("word", "cls").toArrow()
         by_word = dict(zip(found.column("word").to_pylist(), found.column("cls").to_pylist()))
         cls[len(seeds) :] = [by_word[w] for w in words[len(seeds) :]]
-    return Classes(len(seeds), of, words, counts, cls, table)
+    return Classes(len(seeds), of, words, counts, cls, inside, table)
 
 
 def coded(docs: DataFrame, classes: Classes) -> DataFrame:
@@ -364,7 +429,7 @@ def coded(docs: DataFrame, classes: Classes) -> DataFrame:
             for a in range(0, whole.num_rows, 500):
                 batch, rows = whole.slice(a, 500), []
                 for t in batch.column(1).cast(pa.binary()).to_pylist():
-                    words = lower_words(t)
+                    words = words_of(t)
                     at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
                     known = at[at >= 0]
                     codes = np.zeros(len(words), np.uint8)
@@ -401,9 +466,7 @@ def coded(docs: DataFrame, classes: Classes) -> DataFrame:
     picked = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     first = stored(picked.mapInArrow(run, f"doc_id {kind}, row long, codes binary, known long, counted double, based double, tail array<struct<word:binary,at:binary>>"), "classlm-texts")
-    outside = classes.table
-    if len(classes.words):
-        outside = outside.where((F.col("n") < int(classes.counts[-1])) | (F.octet_length("word") > WORD_BYTES))
+    outside = classes.table.where(~classes.inside)
     found = first.select("row", F.inline("tail")).join(outside, "word").groupBy("row").agg(F.collect_list(F.struct("at", "n", "cls")).alias("found"))
     whole = first.drop("tail").join(found, "row", "left").select("doc_id", "codes", "known", "counted", "based", "found")
     return stored(whole.mapInArrow(placed, f"doc_id {kind}, codes binary, known long, counted double, based double"), "classlm-codes")

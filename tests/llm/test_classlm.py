@@ -114,6 +114,34 @@ def test_words_outside_the_seeds_have_classes_of_their_own(spark, make_docs, mon
     assert key(L.score_all(docs)) == key(L.score(docs, model, vocab))
 
 
+def test_the_head_is_filled_among_words_of_equal_count(spark, monkeypatch):
+    monkeypatch.setattr(L, "HEAD", 1000)
+    vocab = spark.range(3000).selectExpr("cast(cast(id as string) as binary) as word", "case when id < 40 then 9L else 2L end as n")
+    words, counts, inside = L.head_of(vocab)
+    assert 960 <= len(words) <= 1000 and counts[:40].tolist() == [9] * 40
+    assert {bytes(r.word) for r in vocab.where(inside).collect()} == set(words)
+    assert vocab.where(~inside).count() == 3000 - len(words)
+    assert L.head_of(vocab.where("n = 0"))[0] == []
+
+
+def test_sums_and_lists_of_neighbours_give_one_table(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(L, "HEAD", 200)
+    monkeypatch.setattr(L, "UNITS", 30)
+    monkeypatch.setattr(L, "ALL", 30 + L.BINS + 1)
+    monkeypatch.setattr(L, "END_UNIT", 30 + L.BINS)
+    monkeypatch.setattr(L.exchange, "__defaults__", (L.CLASSES, 30 + L.BINS, L.SWEEPS))
+    long_word = "=" * 100  # longer than a word of the head may be, in every text
+    texts = make_docs([(i, f"{t or ''} {long_word} x{(i or 0) % 7}") for i, t in corpus()]).repartition(3).select("text")
+    vocab = L.stored(L.count_words(texts), "t")
+    found = []
+    for hot in (10**9, 2):
+        monkeypatch.setattr(L, "HOT", hot)
+        found.append(L.classify(texts, vocab))
+    a, b = (sorted((bytes(r.word), r.n, r.cls) for r in c.table.collect()) for c in found)
+    assert a == b and L.short(long_word.encode()) in found[0].words
+    assert {w: n for w, n, _ in a} == {bytes(r.word): r.n for r in vocab.collect() if bytes(r.word) not in found[0].words[:30]}
+
+
 def test_empty_and_no_training(spark, make_docs):
     assert L.score_all(make_docs([]).select("doc_id", "text")).count() == 0
     only = [i for i in range(60) if held(i)][:3]
