@@ -73,6 +73,8 @@ HOT = 4_096
 WORD_BYTES = 64
 FLUSH = 250_000
 CODES = 1 << 20
+STEP = 1 << 18
+ROOM = 400_000
 UNKNOWN = 64  # flag beside a class in the code of a word unseen in training
 
 
@@ -93,10 +95,26 @@ def unit_bin(word: bytes) -> int:
 
 
 class Units(dict):
-    """Word -> unit; other words than those it is given go by their ending."""
+    """Word -> unit; other words than those it is given go by their ending (kept while there is room)."""
 
     def __missing__(self, word: bytes) -> int:
-        return unit_bin(word)
+        found = unit_bin(word)
+        if len(self) < ROOM:
+            self[word] = found
+        return found
+
+
+class Places(dict):
+    """Word -> place in the head, or -1."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+def binaries(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of flat cut at ends (from 0 on) as an Arrow array."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -295,52 +313,72 @@ def _smoothed(pairs: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return (pairs + PRIOR * mass / max(mass.sum(), 1.0)) / (pairs.sum(axis=1, keepdims=True) + PRIOR)
 
 
-def neighbours(texts: DataFrame, seeds: list[bytes], hot: list[bytes], of: np.ndarray) -> DataFrame:
+def neighbours(texts: DataFrame, head: list[bytes], seeds: int, hot: int, of: np.ndarray) -> DataFrame:
     """Rows of all words but the seeds, several for a word: (word, around), a class byte before and one after each
-    occurrence, in a row; for hot words (word, cell, n), how often a class stands on a side (cell: class, CLASSES more after it).
+    occurrence, in a row; for the head's words from the seeds up to hot (word, cell, n), how often a
+    class stands on a side (cell: class, CLASSES more after it).
     """
-    by_ending = [of[unit_bin(w)] for w in hot]
-    full = np.concatenate([of[: len(seeds)], np.array(by_ending, of.dtype), of[UNITS:]]).astype(np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast((seeds + hot, len(seeds), full))
+    by_ending = [of[unit_bin(w)] for w in head[seeds:]]
+    full = np.concatenate([of[:seeds], np.array(by_ending, of.dtype), of[UNITS:]]).astype(np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast((head, full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, first, of = shared.value
-        units = Units((w, i) for i, w in enumerate(names))
-        around: defaultdict[bytes, bytearray] = defaultdict(bytearray)
+        head, of = shared.value
+        names, units = pa.array(head, pa.binary()), Units((w, i) for i, w in enumerate(head))
+        around: defaultdict[bytes, bytearray] = defaultdict(bytearray)  # words outside the head
+        places: list[np.ndarray] = []  # the head's words with the bytes beside them
+        beside: list[np.ndarray] = []
         cells: list[np.ndarray] = []
-        end, seen = bytes([END_CLASS]), 0
+        words: list[bytes] = []
+        codes: list[int] = []
+        seen = 0
+
+        def take() -> None:
+            u = np.array(codes, np.int64)
+            c = of[u]
+            near = np.column_stack([np.concatenate([[END_CLASS], c[:-1]]), np.concatenate([c[1:], [END_CLASS]])]).astype(np.uint8)
+            flat = near.tobytes()
+            for k in np.flatnonzero(u < -1).tolist():  # -1 is the end
+                around[words[k]] += flat[2 * k : 2 * k + 2]
+            at = np.flatnonzero(u >= hot)
+            places.append(u[at].astype(np.int32))
+            beside.append(near[at])
+            at = np.flatnonzero((u >= seeds) & (u < hot))
+            cells.extend(u[at] * (2 * CLASSES) + side * CLASSES + near[at, side] for side in (0, 1))
+            codes.clear()
+            words.clear()
 
-        def rows(words: list[bytes], cell: list, n: list, near: list) -> pa.RecordBatch:
-            columns = [pa.array(words, pa.binary()), pa.array(cell, pa.int32()), pa.array(n, pa.int64()), pa.array(near, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["word", "cell", "n", "around"])
+        def rows(words: pa.Array, cell=None, n=None, near=None) -> Iterator[pa.RecordBatch]:
+            size, kinds = len(words), (pa.int32(), pa.int64(), pa.binary())
+            columns = [words, *(pa.nulls(size, kind) if x is None else pa.array(x, kind) for x, kind in zip((cell, n, near), kinds))]
+            whole = pa.RecordBatch.from_arrays(columns, ["word", "cell", "n", "around"])
+            for a in range(0, size, 50_000):
+                yield whole.slice(a, 50_000)
 
         def out() -> Iterator[pa.RecordBatch]:
-            items = list(around.items())
+            take()
+            yield from rows(pa.array(list(around), pa.binary()), near=list(map(bytes, around.values())))
             around.clear()
-            for a in range(0, len(items), 50_000):
-                part = items[a : a + 50_000]
-                none = [None] * len(part)
-                yield rows([w for w, _ in part], none, none, [bytes(x) for _, x in part])
-            if cells:
-                codes, n = np.unique(np.concatenate(cells), return_counts=True)
-                cells.clear()
-                for a in range(0, len(codes), 50_000):
-                    part = codes[a : a + 50_000]
-                    words = [names[k] for k in (part // (2 * CLASSES)).tolist()]
-                    yield rows(words, (part % (2 * CLASSES)).tolist(), n[a : a + 50_000].tolist(), [None] * len(part))
+            u = np.concatenate(places)
+            by = np.argsort(u, kind="stable")
+            near, u = np.concatenate(beside)[by], u[by]
+            last = np.flatnonzero(np.append(u[1:] != u[:-1], True)) if len(u) else np.zeros(0, np.int64)
+            yield from rows(names.take(pa.array(u[last])), near=binaries(near, 2 * (last + 1)))
+            found, n = np.unique(np.concatenate(cells), return_counts=True)
+            yield from rows(names.take(pa.array(found // (2 * CLASSES))), found % (2 * CLASSES), n)
+            for x in (places, beside, cells):
+                x.clear()
 
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                words = words_of(t)
-                u = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
-                line = end + of[u].tobytes() + end
-                for k in np.flatnonzero(u < 0).tolist():
-                    around[words[k]] += line[k : k + 3 : 2]
-                at = np.flatnonzero(u >= first)
-                if len(at):
-                    near, base = np.frombuffer(line, np.uint8), u[at] * (2 * CLASSES)
-                    cells += [base + near[at], base + CLASSES + near[at + 2]]
-                seen += len(words)
+                found = words_of(t)
+                words += found
+                words.append(b"")
+                codes.extend(map(units.__getitem__, found))
+                codes.append(-1)
+                seen += len(found)
+                if len(codes) >= STEP:
+                    take()
                 if len(around) >= FLUSH or seen >= 4 * CODES:
                     yield from out()
                     seen = 0
@@ -392,12 +430,12 @@ def classify(texts: DataFrame, vocab: DataFrame) -> Classes:
     """A class for every training word; vocab: rows (word, n) of all of them."""
     words, counts, inside = head_of(vocab)
     seeds = words[:UNITS]
-    hot = words[len(seeds) : max(len(seeds), int((counts >= HOT).sum()))]
+    hot = max(len(seeds), int((counts >= HOT).sum()))
     matrix = count_unit_pairs(texts, seeds)
     of, _ = exchange(matrix)
     ones = np.zeros((ALL, CLASSES))
     ones[np.arange(ALL), of] = 1.0
-    near = stored(neighbours(texts, seeds, hot, of), "classlm-neighbours")
+    near = stored(neighbours(texts, words, len(seeds), hot, of), "classlm-neighbours")
     table = stored(assign(near, ones.T @ matrix @ ones), "classlm-classes")
     discard(near)
     cls = np.zeros(len(words), np.int64)
@@ -420,17 +458,19 @@ def coded(docs: DataFrame, classes: Classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, cls, of = shared.value
-        get = {w: i for i, w in enumerate(names)}.get
+        place = Places((w, i) for i, w in enumerate(names)).__getitem__
         counted, based = np.log10(counts - DISCOUNT), np.log10(counts + 0.5)
         seq, part = 0, TaskContext.get().partitionId()
-        entry = pa.struct([("word", pa.binary()), ("at", pa.binary())])
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(entry)]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch, rows = whole.slice(a, 500), []
+                outside: list[bytes] = []
+                where: list[bytes] = []
+                ends = [0]
                 for t in batch.column(1).cast(pa.binary()).to_pylist():
                     words = words_of(t)
-                    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                    at = np.fromiter(map(place, words), np.int64, len(words))
                     known = at[at >= 0]
                     codes = np.zeros(len(words), np.uint8)
                     codes[at >= 0] = cls[known]
@@ -439,29 +479,35 @@ def coded(docs: DataFrame, classes: Classes) -> DataFrame:
                         tail[words[k]].append(k)
                     for w, places in tail.items():
                         codes[places] = of[unit_bin(w)] + UNKNOWN
-                    entries = [{"word": w, "at": np.array(x, np.uint32).tobytes()} for w, x in tail.items()]
+                        outside.append(w)
+                        where.append(np.array(places, np.uint32).tobytes())
+                    ends.append(len(outside))
                     missing = (len(words) - len(known)) * math.log10(0.5)
-                    rows.append((part << 33 | seq, codes.tobytes(), len(known), float(counted[known].sum()), float(based[known].sum()) + missing, entries))
+                    rows.append((part << 33 | seq, codes.tobytes(), len(known), float(counted[known].sum()), float(based[known].sum()) + missing))
                     seq += 1
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                entries = pa.StructArray.from_arrays([pa.array(outside, pa.binary()), pa.array(where, pa.binary())], ["word", "at"])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "row", "codes", "known", "counted", "based", "tail"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for codes, known, counted, based, found in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
-                if found:
-                    line = np.frombuffer(codes, np.uint8).copy()
-                    for e in found:
-                        at = np.frombuffer(e["at"], np.uint32)
-                        line[at] = e["cls"]
-                        known += len(at)
-                        counted += len(at) * math.log10(e["n"] - DISCOUNT)
-                        based += len(at) * (math.log10(e["n"] + 0.5) - math.log10(0.5))
-                    codes = line.tobytes()
-                rows.append((codes, known, counted, based))
-            kinds = [pa.binary(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "codes", "known", "counted", "based"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                lines = batch.column(1).to_pylist()
+                ends = np.cumsum([len(x) for x in lines])
+                line, starts = np.frombuffer(b"".join(lines), np.uint8).copy(), np.concatenate([[0], ends[:-1]])
+                known, counted, based = (batch.column(k).to_numpy().copy() for k in (2, 3, 4))
+                at, n, cls = batch.column(5).flatten().flatten()
+                at, n = at.to_pylist(), n.to_numpy()
+                rows = np.repeat(np.arange(len(lines)), batch.column(5).value_lengths().fill_null(0).to_numpy())
+                times = np.fromiter(map(len, at), np.int64, len(at)) // 4
+                line[np.repeat(starts[rows], times) + np.frombuffer(b"".join(at), np.uint32)] = np.repeat(cls.to_numpy(), times)
+                total = lambda x: np.bincount(rows, x, len(lines))
+                known += total(times).astype(np.int64)
+                counted += total(times * np.log10(n - DISCOUNT))
+                based += total(times * (np.log10(n + 0.5) - math.log10(0.5)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), binaries(line, ends), *map(pa.array, (known, counted, based))], ["doc_id", "codes", "known", "counted", "based"])
 
     picked = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
