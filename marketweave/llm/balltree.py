@@ -15,11 +15,11 @@ shard are one point of its tree with their smallest ids, so a vector that a thir
 the rows share costs no more than one.
 
 Scores are exact integers: components are floor(scale * x), and products are summed in
-doubles only while they stay below 2**53, otherwise in Python's integers (a score that
-leaves 64 bits raises).
+doubles only while they stay below 2**53, otherwise in Python's integers. A score that
+leaves 64 bits becomes the nearest integer of 64 bits, and ranks as such.
 
 Defined cases: rows with a null id, and vectors null, empty or with a null or
-non-finite component take no part; vectors of different lengths do not meet; repeated
+non-finite component (before or after scaling) take no part; vectors of different lengths do not meet; repeated
 rows count once; a query's own id is never its result; ties go to the smaller id; fewer
 than k candidates give all; empty tables give an empty result.
 """
@@ -42,6 +42,7 @@ SHARD_ROWS = 16_384
 QUERY_BLOCK = 4_096
 LEAF = 64
 EXACT = 2.0**53
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 class BallTree:
@@ -88,7 +89,7 @@ def _products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
         return np.zeros((len(queries), len(points)))
     if np.abs(queries).max() * np.abs(points).max() * points.shape[1] < EXACT:
         return queries @ points.T
-    return _integers(queries) @ _integers(points).T
+    return np.minimum(np.maximum(_integers(queries) @ _integers(points).T, LEAST), MOST)
 
 
 class Best:
@@ -119,7 +120,8 @@ def search(best: Best, queries: np.ndarray, points: np.ndarray, ids: list[list[i
     def bound(q: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Upper bounds of pairs, with room for rounding."""
         raw = np.einsum("ij,ij->i", queries[q], tree.centers[node]) + norms[q] * tree.radii[node]
-        return raw + 1 + 1e-9 * norms[q] * tree.reach[node]
+        raw = raw + 1 + 1e-9 * norms[q] * tree.reach[node]
+        return np.where(np.isnan(raw), np.inf, np.maximum(raw, LEAST))  # beyond doubles nothing is known
 
     def open_(q: np.ndarray, b: np.ndarray) -> np.ndarray:
         floors = np.array([-np.inf if best.floor[i] is None else float(best.floor[i]) for i in q.tolist()])
@@ -203,9 +205,9 @@ def _floors(own: np.ndarray, queries: np.ndarray, k: int) -> list:
     return out
 
 
-def valid(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+def valid(rows: DataFrame, vec_id: str, embedding: str, scale: int = SCALE) -> DataFrame:
     v = F.col(embedding).cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * float(scale)) < float("inf")))
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0").where(finite)
 
 
@@ -215,7 +217,7 @@ def top_k(
     """Rows (query_id, rank, vec_id, score): the k candidates of each query with the highest integer inner product."""
     spark = candidates.sparkSession
     found, block, n = None, [], 0
-    base = valid(candidates, vec_id, embedding)
+    base = valid(candidates, vec_id, embedding, scale)
 
     def flush() -> DataFrame:
         ids = pa.array([b[0] for b in block], pa.int64())
@@ -226,7 +228,7 @@ def top_k(
         groups = {d: (*_once(o, p), f) for d, (o, p, f) in groups.items()}
         return _block(base, spark.sparkContext.broadcast(groups), n, k, scale)
 
-    for row in valid(queries, vec_id, embedding).toLocalIterator():
+    for row in valid(queries, vec_id, embedding, scale).toLocalIterator():
         block.append((row.vec_id, row.v))
         if len(block) == QUERY_BLOCK:
             found = flush() if found is None else found.unionByName(flush())

@@ -86,6 +86,13 @@ def test_bounds_prune_clustered_data():
     assert visits < 0.5 * 2000 / B.LEAF
 
 
-def test_overflow_raises(spark):
-    with pytest.raises(Exception):
-        run(spark, [(0, [1e18, 1e18]), (5, [1e18, 1e18])], 5)
+def test_scores_beyond_64_bits_are_the_nearest_long(spark):
+    big = [(0, [1e18, 1e18]), (5, [1e18, 1e18]), (3, [-1e18, 0.0]), (4, [1e150, 1e150]), (6, [1.0, 1.0]), (7, [1e307, 1.0])]
+    least, most = -(2**63), 2**63 - 1
+    e = {i: [int(np.floor(256 * x)) for x in v] for i, v in big if i != 7}  # 256 * 1e307 is no finite double
+    want = []
+    for q in (0, 5):
+        score = lambda i: max(least, min(most, sum(a * b for a, b in zip(e[q], e[i]))))
+        found = sorted((-score(i), i) for i in e if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+    assert run(spark, big, 5) == sorted(want)
