@@ -43,6 +43,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property
@@ -74,7 +75,6 @@ WORD_BYTES = 64
 FLUSH = 250_000
 CODES = 1 << 20
 STEP = 1 << 18
-ROOM = 400_000
 UNKNOWN = 64  # flag beside a class in the code of a word unseen in training
 
 
@@ -91,17 +91,16 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def unit_bin(word: bytes) -> int:
     """Place of the word's bin, from the end: the same whatever the number of words before the bins."""
-    return -2 - zlib.crc32(short(word)[-ENDING:]) % BINS
+    if len(word) > WORD_BYTES:
+        word = short(word)
+    return -2 - zlib.crc32(word[-ENDING:]) % BINS
 
 
 class Units(dict):
-    """Word -> unit; other words than those it is given go by their ending (kept while there is room)."""
+    """Word -> unit; other words than those it is given go by their ending."""
 
     def __missing__(self, word: bytes) -> int:
-        found = unit_bin(word)
-        if len(self) < ROOM:
-            self[word] = found
-        return found
+        return unit_bin(word)
 
 
 class Places(dict):
@@ -475,12 +474,12 @@ def coded(docs: DataFrame, classes: Classes) -> DataFrame:
                     codes = np.zeros(len(words), np.uint8)
                     codes[at >= 0] = cls[known]
                     tail: defaultdict[bytes, list[int]] = defaultdict(list)
-                    for k in np.flatnonzero(at < 0).tolist():
+                    new = np.flatnonzero(at < 0)
+                    codes[new] = of[np.fromiter((unit_bin(words[k]) for k in new.tolist()), np.int64, len(new))] + UNKNOWN
+                    for k in new.tolist():
                         tail[words[k]].append(k)
-                    for w, places in tail.items():
-                        codes[places] = of[unit_bin(w)] + UNKNOWN
-                        outside.append(w)
-                        where.append(np.array(places, np.uint32).tobytes())
+                    outside += tail
+                    where += [array("I", x).tobytes() for x in tail.values()]
                     ends.append(len(outside))
                     missing = (len(words) - len(known)) * math.log10(0.5)
                     rows.append((part << 33 | seq, codes.tobytes(), len(known), float(counted[known].sum()), float(based[known].sum()) + missing))
