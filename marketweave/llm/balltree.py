@@ -1,18 +1,21 @@
 """Exact top-k inner-product search with ball trees, branch and bound.
 
-Every input partition is cut into shards of at most SHARD_ROWS vectors, each indexed by
-a ball tree: a node has a centre c and a radius r, and no vector x in it scores above
-q.c + |q| r for a query q. Nodes whose bound is below the query's current kth score are
-pruned from the root down; the leaves that remain are visited in order of their bounds,
-and each visit may raise the kth score. The current kth scores are shared: they start
-from the best scores within the query block itself, are broadcast with it, and are
-carried from shard to shard within a task. Only results at or above the shared score
-leave a task, so little is shuffled to the last ranking.
-
-The queries are dealt out in blocks of at most QUERY_BLOCK, streamed through the driver;
-a block is all that is broadcast. Candidates are never shuffled. Equal vectors of a
-shard are one point of its tree with their smallest ids, so a vector that a third of
-the rows share costs no more than one.
+Every input partition is cut into shards of at most SHARD_ROWS vectors (fewer, if they are
+wide), each indexed by a ball tree: a node has a centre c and a radius r, and no vector x
+in it scores above q.c + |q| r for a query q. Nodes whose bound is below the query's
+current kth score are pruned from the root down, so a whole shard may go at its root; the
+leaves that remain are visited in order of their bounds, and each visit may raise the kth
+score. The current kth scores are shared: they start from the best scores among SEEDS
+candidates, which every task is given, and are carried from shard to shard of a group.
+Only results at or above the shared score leave a task, so little is shuffled to the last
+ranking.
+
+The queries are written once to the shared folder, as files of at most QUERY_BLOCK rows. A
+task holds GROUP shards with their trees and reads the blocks one after another, so a tree
+is built once however many queries there are, memory is bounded by a group and a block, and
+no query passes the driver. Candidates are never shuffled. Equal vectors of a shard are one
+point of its tree with their smallest ids, so a vector that a third of the rows share costs
+no more than one.
 
 Scores are exact integers: components are floor(scale * x), and products are summed in
 doubles only while they stay below 2**53, otherwise in Python's integers. A score that
@@ -30,16 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import table
+from marketweave.llm.common import open_store, shared_path, table
 
 K = 5
 SCALE = 256
 EVERY = 50
 SHARD_ROWS = 16_384
+SHARD_VALUES = 2**21
+GROUP = 8
 QUERY_BLOCK = 4_096
+SEEDS = 2_048
 LEAF = 64
 EXACT = 2.0**53
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -112,9 +119,9 @@ class Best:
                 self.floor[q] = kth
 
 
-def search(best: Best, queries: np.ndarray, points: np.ndarray, ids: list[list[int]], leaf: int = LEAF) -> int:
+def search(best: Best, queries: np.ndarray, points: np.ndarray, ids: list[list[int]], leaf: int = LEAF, tree: BallTree | None = None) -> int:
     """Branch and bound over one shard of distinct points; returns the (query, leaf) visits made."""
-    tree = BallTree(points, leaf)
+    tree = tree or BallTree(points, leaf)
     norms = np.sqrt((queries**2).sum(axis=1))
 
     def bound(q: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -192,16 +199,18 @@ def _distinct(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray,
     return points[first], [np.unique(ids[a:b])[: k + 1].tolist() for a, b in zip(starts, starts[1:])]
 
 
-def _floors(own: np.ndarray, queries: np.ndarray, k: int) -> list:
-    """kth scores of each query among the block's other ids: a first bound to share."""
-    out, repeated = [], len(np.unique(own)) < len(own)
+def _floors(own: np.ndarray, queries: np.ndarray, k: int, ids: np.ndarray | None = None, points: np.ndarray | None = None) -> list:
+    """kth scores of each query among some candidates (the queries themselves by default): a first bound to share."""
+    ids, points = (own, queries) if ids is None else (ids, points)
+    out, repeated = [], len(np.unique(ids)) < len(ids)
     for a in range(0, len(queries), 512):
-        scores = _products(queries[a : a + 512], queries)
+        scores = _products(queries[a : a + 512], points)
         for i, line in enumerate(scores):
-            others = np.array(line[own != own[a + i]])
+            other = ids != own[a + i]
+            others = np.array(line[other])
             if repeated:  # an id counts once for each score, as in the result
-                others = np.array([s for s, _ in set(zip(others.tolist(), own[own != own[a + i]].tolist()))])
-            out.append(int(np.sort(others)[-k]) if len(others) >= k else None)
+                others = np.array([s for s, _ in set(zip(others.tolist(), ids[other].tolist()))])
+            out.append(int(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else None)
     return out
 
 
@@ -216,28 +225,30 @@ def top_k(
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k candidates of each query with the highest integer inner product."""
     spark = candidates.sparkSession
-    found, block, n = None, [], 0
     base = valid(candidates, vec_id, embedding, scale)
-
-    def flush() -> DataFrame:
-        ids = pa.array([b[0] for b in block], pa.int64())
-        vectors = pa.array([b[1] for b in block], pa.list_(pa.float64()))
-        groups = {}
-        for own, points in _by_length(ids.to_pylist(), vectors, scale):
-            groups[points.shape[1]] = (own, points, _floors(*_once(own, points), k))
-        groups = {d: (*_once(o, p), f) for d, (o, p, f) in groups.items()}
-        return _block(base, spark.sparkContext.broadcast(groups), n, k, scale)
-
-    for row in valid(queries, vec_id, embedding, scale).toLocalIterator():
-        block.append((row.vec_id, row.v))
-        if len(block) == QUERY_BLOCK:
-            found = flush() if found is None else found.unionByName(flush())
-            block, n = [], n + 1
-    if block or found is None:
-        found = flush() if found is None else found.unionByName(flush())
+    blocks = query_blocks(valid(queries, vec_id, embedding, scale), scale)
+    first = base.limit(SEEDS).toArrow()
+    seeds = spark.sparkContext.broadcast({p.shape[1]: _once(i, p) for i, p in _vectors(first, scale)})
+    found = base.mapInArrow(searcher(blocks, seeds, k, scale), "block long, dim long, q long, query_id long, vec_id long, score long")
     w = Window.partitionBy("block", "dim", "q").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    near = found.withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= k).distinct()  # repeated rows share a place
+    return near.select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")
+
+
+def query_blocks(queries: DataFrame, scale: int) -> list[str]:
+    """Write the distinct scaled queries to the shared folder; the paths of its files, QUERY_BLOCK rows in each at most."""
+    y = lambda x: x * float(scale)
+    whole = F.transform("v", lambda x: F.when(F.abs(y(x)) < 2.0**52, F.floor(y(x)).cast("double")).otherwise(y(x)))
+    path = shared_path(queries.sparkSession, "queries")
+    rows = queries.select("vec_id", whole.alias("v")).distinct()
+    rows.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(path)
+    return sorted(queries.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+
+
+def _vectors(rows: pa.Table, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if rows.num_rows:
+        rows = rows.combine_chunks()
+        yield from _by_length(rows.column(0).to_pylist(), rows.column(1).chunk(0), scale)
 
 
 def _once(ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,36 +257,66 @@ def _once(ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[np.sort(at)], points[np.sort(at)]
 
 
-def _block(base: DataFrame, shared, number: int, k: int, scale: int) -> DataFrame:
+def searcher(blocks: list[str], seeds, k: int, scale: int):
+    """The search of one task: its candidates in groups of shards, every block of queries against each group."""
+
+    def read(path: str) -> pa.Table:
+        store, name = open_store(path)
+        return pq.read_table(name, columns=["vec_id", "v"], filesystem=store, partitioning=None)
+
+    def indexed(rows: pa.Table) -> Iterator[tuple]:
+        for ids, points in _vectors(rows, scale):
+            points, names = _distinct(ids, points, k)
+            yield points, names, BallTree(points)
+
+    def against(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for number, path in enumerate(blocks):
+            for own, queries in _vectors(read(path), 1):
+                dim = queries.shape[1]
+                shards = [g for g in group if g[0].shape[1] == dim]
+                if not shards:
+                    continue
+                near = seeds.value.get(dim)
+                best = Best(own, _floors(own, queries, k, *near) if near else [None] * len(own), k)
+                for points, names, tree in shards:
+                    search(best, queries, points, names, tree=tree)
+                out = [(number, dim, q, best.own[q], i, -s) for q, rows in enumerate(best.rows) for s, i in rows]
+                names_ = ["block", "dim", "q", "query_id", "vec_id", "score"]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(6)], names_)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = shared.value
-        best = {d: Best(own, floor, k) for d, (own, _, floor) in groups.items()}
-        held: list[pa.RecordBatch] = []
-
-        def shard() -> None:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            vectors = rows.column(1).chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.float64()))
-            for ids, points in _by_length(rows.column(0).to_pylist(), vectors, scale):
-                if points.shape[1] in groups:
-                    search(best[points.shape[1]], groups[points.shape[1]][1], *_distinct(ids, points, k))
-
-        size = 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, SHARD_ROWS):
-                part = batch.slice(a, SHARD_ROWS)
-                if held and size + part.num_rows > SHARD_ROWS:
-                    shard()
-                    size = 0
-                held.append(part)
-                size += part.num_rows
-        if held:
-            shard()
-        out = [(number, d, q, b.own[q], i, -s) for d, b in best.items() for q, rows in enumerate(b.rows) for s, i in rows]
-        names = ["block", "dim", "q", "query_id", "vec_id", "score"]
-        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(6)], names)
-
-    return base.mapInArrow(run, "block long, dim long, q long, query_id long, vec_id long, score long")
+        if not blocks:
+            return
+        group: list[tuple] = []
+        for rows in _shards(batches, SHARD_ROWS, SHARD_VALUES):
+            group += indexed(rows)
+            if len(group) >= GROUP:
+                yield from against(group)
+                group = []
+        if group:
+            yield from against(group)
+
+    return run
+
+
+def _shards(batches: Iterator[pa.RecordBatch], most_rows: int, most_values: int) -> Iterator[pa.Table]:
+    """The rows in runs of at most ``most_rows`` rows and, beyond one row, ``most_values`` components."""
+    held: list[pa.RecordBatch] = []
+    rows = values = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        widest = int(np.diff(batch.column(1).offsets.to_numpy()).max())
+        step = max(1, min(most_rows, most_values // max(1, widest)))
+        for a in range(0, batch.num_rows, step):
+            part = batch.slice(a, step)
+            if held and (rows + part.num_rows > most_rows or values + part.num_rows * widest > most_values):
+                yield pa.Table.from_batches(held)
+                held, rows, values = [], 0, 0
+            held.append(part)
+            rows, values = rows + part.num_rows, values + part.num_rows * widest
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

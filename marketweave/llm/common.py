@@ -70,6 +70,15 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df.stored_at)
 
 
+def open_store(uri: str):
+    """(file system, path) through pyarrow, for reading and writing files from tasks."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def md5_long(col: Column) -> Column:
     """First 60 bits of MD5 as a non-negative long (the same number in any SQL engine)."""
     return F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long")

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import shared_path, stored, table
+from marketweave.llm.common import open_store, shared_path, stored, table
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
@@ -203,15 +203,6 @@ def read_archive(source) -> Iterator[Record]:
         yield parse_record(data)
 
 
-def _open(uri: str):
-    """(file system, path) of a shared folder's URI, on the executors."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def resolve_revisits(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, payload, digest, refers_to)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -229,7 +220,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, root = _open(folder)
+        store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         done: list[tuple[str, int]] = []
         writer = file = name = None
@@ -274,7 +265,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, name = _open(path)
+                store, name = open_store(path)
                 rows, size = [], 0
                 with store.open_input_stream(name, compression=None) as source:
                     for r in read_archive(source):

@@ -96,3 +96,40 @@ def test_scores_beyond_64_bits_are_the_nearest_long(spark):
         found = sorted((-score(i), i) for i in e if i != q)
         want += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
     assert run(spark, big, 5) == sorted(want)
+
+
+def test_a_tree_is_built_once_a_shard_however_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(B, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(B, "SHARD_ROWS", 40)
+    monkeypatch.setattr(B, "GROUP", 2)
+    blocks = B.query_blocks(B.valid(df.where("vec_id % 2 = 0"), "vec_id", "embedding"), 256)
+    assert len(blocks) >= 20
+    built = []
+    monkeypatch.setattr(B, "BallTree", lambda points, leaf=64, make=B.BallTree: built.append(len(points)) or make(points, leaf))
+    base = B.valid(df, "vec_id", "embedding").toArrow().combine_chunks().to_batches()
+    found = list(B.searcher(blocks, spark.sparkContext.broadcast({}), 5, 256)(iter(base)))
+    assert sum(built) == 200 and max(built) <= 40 and len(built) <= 2 * 200 // 40
+    assert len({(b, q) for t in found for b, q in zip(t["block"].to_pylist(), t["q"].to_pylist())}) == 100
+
+
+def test_queries_need_not_be_candidates(spark):
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(20)]
+    asked = spark.createDataFrame([(50 + j, [1.0, 2.0 * j]) for j in range(9)], "vec_id long, embedding array<double>")
+    got = B.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), asked, 3).collect()
+    want = []
+    for j in range(9):
+        found = sorted((-int(65536 * (v[0] + 2 * j * v[1])), i) for i, v in rows)[:3]
+        want += [(50 + j, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_wide_vectors_make_smaller_shards(spark, monkeypatch):
+    rows = [(i, [float(i - 4)] * 16) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cuts = [t.num_rows for t in B._shards(iter(B.valid(df, "vec_id", "embedding").toArrow().to_batches()), 8, 64)]
+    assert sum(cuts) == 10 and max(cuts) <= 4
+    monkeypatch.setattr(B, "SHARD_VALUES", 64)
+    assert run(spark, rows) == brute(rows, 5, 5)
