@@ -14,8 +14,16 @@ MARKET_EVERY = 20
 AMENDED_EVERY = 10
 FILING_LAG = 95
 
-#: Metrics in the order in which orders are dealt to them.
-DEALT = (C.EPS, C.REVENUE, C.NET_INCOME, C.DEBT, C.SHARES, C.CASH_FLOW, C.REVENUE_FALLBACK)
+REVENUE_TAG = f"CASE WHEN o_orderkey % 3 = 0 THEN '{C.REVENUE_FALLBACK}' ELSE '{C.REVENUE}' END"
+#: The facts that one order reports: SQL of (metric, value), which Spark and DuckDB read alike.
+REPORTED = (
+    (f"'{C.EPS}'", "o_totalprice / 50"),
+    (REVENUE_TAG, "o_totalprice"),
+    (f"'{C.NET_INCOME}'", "o_totalprice * (o_orderkey % 11 - 3) / 20"),
+    (f"'{C.DEBT}'", "o_totalprice * (o_orderkey % 7) * 20000"),
+    (f"'{C.SHARES}'", "o_totalprice * 2"),
+    (f"'{C.CASH_FLOW}'", "o_totalprice * (o_orderkey % 5 - 2)"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,14 +70,13 @@ def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edgar_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    metric = F.element_at(F.array(*[F.lit(m) for m in DEALT]), (key % len(DEALT)).cast("int") + 1)
+    reported = F.inline(F.array(*[F.struct(F.expr(m).alias("metric"), F.expr(v).alias("value")) for m, v in REPORTED]))
     form = F.when(F.col("o_orderstatus") == "F", "10-K").when(F.col("o_orderstatus") == "O", "10-Q").otherwise("8-K")
     day = F.to_date("o_orderdate")
     return o.select(
         ticker_of(F.col("o_custkey")).alias("ticker"),
         C.pad_cik(F.col("o_custkey") % TICKERS).alias("cik"),
-        metric.alias("metric"),
-        F.col("o_totalprice").alias("value"),
+        reported,
         F.date_sub(F.add_months(F.trunc(day, "quarter"), 3), 1).alias("period_end"),
         F.date_add(day, F.lit(FILING_LAG) + (key % 60).cast("int")).alias("filed_date"),
         F.concat(form, F.when(key % AMENDED_EVERY == 0, "/A").otherwise("")).alias("form_type"),
@@ -108,11 +115,12 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "facts": (
-        f"SELECT {_ticker('o_custkey')} AS ticker, lpad((o_custkey % {TICKERS})::VARCHAR, 10, '0') AS cik, [{', '.join(repr(m) for m in DEALT)}][(o_orderkey % {len(DEALT)}) + 1] AS metric, o_totalprice AS value, "
+        f"SELECT {_ticker('o_custkey')} AS ticker, lpad((o_custkey % {TICKERS})::VARCHAR, 10, '0') AS cik, m.metric AS metric, m.value AS value, "
         "(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end, "
         f"(o_orderdate::DATE + ({FILING_LAG} + o_orderkey % 60)::INT)::DATE AS filed_date, "
         f"CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' ELSE '8-K' END || CASE WHEN o_orderkey % {AMENDED_EVERY} = 0 THEN '/A' ELSE '' END AS form_type, "
-        "lpad(o_orderkey::VARCHAR, 10, '0') || '-00-000001' AS accession_no FROM orders",
+        "lpad(o_orderkey::VARCHAR, 10, '0') || '-00-000001' AS accession_no "
+        f"FROM (SELECT *, unnest([{', '.join(f'{{metric: {m}, value: {v}}}' for m, v in REPORTED)}]) AS m FROM orders)",
         (),
     ),
     "news": (

@@ -10,7 +10,7 @@ from marketweave.operators import bars, ingest, ml, technicals
 from marketweave.plans import adapters as A
 from marketweave.plans import marts, serve
 from marketweave.plans.adapters import with_
-from marketweave.plans.queries import END, SYMBOLS, query, rounded, screener
+from marketweave.plans.queries import END, SYMBOLS, _mart_sql, query, rounded, screener
 from marketweave.schemas import OHLCV
 from marketweave.sources import filings, topics, universe
 from marketweave.sources.bars import StoredBarSource
@@ -62,19 +62,19 @@ def stream_landing(spark, d):
     path = scratch_path(spark, "landed")
     for k in range(2):
         flows.land(_replay(spark, rows, f"news{k}"), path, ["source", "url", "ts"], scratch_path(spark, f"land{k}")).awaitTermination()
-    return _ntz(spark.read.parquet(path), "ts")
+    return _ntz(spark.read.parquet(path).drop("_day"), "ts")
 
 
 @query(
     "stream_rolling",
     with_("minutes")
-    + "SELECT ticker, minute AS ts, close, round(avg(close) OVER w + 1e-7, 6) AS ma, count(*) OVER w AS n FROM minutes WINDOW w AS (PARTITION BY ticker ORDER BY minute ROWS 29 PRECEDING)",
+    + "SELECT ticker, minute AS ts, close, round(r + 1e-7, 6) AS daily_return, round(avg(close) OVER w + 1e-7, 6) AS ma, round(stddev_samp(r) OVER w + 1e-7, 6) AS vol, count(*) OVER w AS n FROM (SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY minute), 0) - 1 AS r FROM minutes) WINDOW w AS (PARTITION BY ticker ORDER BY minute ROWS 29 PRECEDING)",
 )
 def stream_rolling(spark, d):
     """Stateful rolling features, held against batch windows."""
     minutes = bars.minute_bars(A.ticks(spark, d)).select("ticker", "ts", "close")
     out = _drain(spark, flows.rolling_features(_replay(spark, minutes, "bars")), "rolling")
-    return rounded(_ntz(out.select("ticker", "ts", "close", "ma", F.col("n").cast("long").alias("n")), "ts"), "ma")
+    return rounded(_ntz(out.withColumn("n", F.col("n").cast("long")), "ts"), "daily_return", "ma", "vol")
 
 
 def _join_sql() -> str:
@@ -97,18 +97,21 @@ def stream_interval_join(spark, d):
 @query(
     "stream_sliding",
     with_("news")
-    + "SELECT ticker, w AS from_ts, w + INTERVAL 7 DAY AS to_ts, count(*) AS items FROM (SELECT ticker, unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 SECOND, INTERVAL 1 DAY)) AS w FROM news) GROUP BY 1, 2 HAVING w + INTERVAL 7 DAY <= (SELECT max(ts) FROM news) - INTERVAL 10 MINUTE",
+    + "SELECT ticker, w AS from_ts, w + INTERVAL 7 DAY AS to_ts, round(avg(intensity) + 1e-7, 6) AS mean_intensity, count(*) AS items FROM (SELECT ticker, intensity, unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 SECOND, INTERVAL 1 DAY)) AS w FROM news) GROUP BY 1, 2 HAVING w + INTERVAL 7 DAY <= (SELECT max(ts) FROM news) - INTERVAL 10 MINUTE",
 )
 def stream_sliding(spark, d):
     """Sliding weekly windows of news, closed ones only."""
     rows = A.news(spark, d).select("ticker", "ts", "intensity")
-    return _ntz(_drain(spark, flows.sliding_sentiment(_replay(spark, rows, "slide")), "sliding").drop("mean_intensity"), "from_ts", "to_ts")
+    return rounded(_ntz(_drain(spark, flows.sliding_sentiment(_replay(spark, rows, "slide")), "sliding"), "from_ts", "to_ts"), "mean_intensity")
 
 
 @query(
     "score_ticker",
     with_("minutes")
-    + ", s AS (SELECT ticker, minute AS ts, close - avg(close) OVER (PARTITION BY ticker ORDER BY minute ROWS 29 PRECEDING) AS score FROM minutes) SELECT ticker, ts, CASE WHEN score > 50 THEN 'buy' WHEN score < -50 THEN 'sell' ELSE 'hold' END AS signal, 'momentum-1' AS model_version FROM s WHERE ticker = 'T05'",
+    + ", r AS (SELECT ticker, minute AS ts, close, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY minute), 0) - 1 AS daily_return FROM minutes), "
+    + "s AS (SELECT ticker, ts, close - avg(close) OVER w AS score, coalesce(daily_return, 0) AS a, coalesce(stddev_samp(daily_return) OVER w, 0) AS b FROM r WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS 29 PRECEDING)) "
+    + "SELECT ticker, ts, CASE WHEN score > 50 THEN 'buy' WHEN score < -50 THEN 'sell' ELSE 'hold' END AS signal, round(score + 1e-7, 6) AS score, 'momentum-1' AS model_version, CASE WHEN b >= abs(a) THEN 'vol' ELSE 'daily_return' END AS first_feature, "
+    + "round(CASE WHEN b >= abs(a) THEN b ELSE a END + 1e-7, 6) AS first_value, round(CASE WHEN b >= abs(a) THEN a ELSE b END + 1e-7, 6) AS second_value FROM s WHERE ticker = 'T05'",
 )
 def score_ticker(spark, d):
     """The decision stream of one ticker, scored by momentum over rolling state."""
@@ -117,7 +120,10 @@ def score_ticker(spark, d):
     rolling = spark.read.parquet(_parquet(spark, _drain(spark, flows.rolling_features(_replay(spark, minutes, "sbars")), "score"), "rolled"))
     score = lambda df: df.withColumn("score", F.col("close") - F.col("ma"))
     flows.decisions(_replay(spark, rolling, "rolled2"), score, path, scratch_path(spark, "dec"), sigma=100.0, threshold=0.5, version="momentum-1", attributions=["daily_return", "vol"]).awaitTermination()
-    return _ntz(spark.read.parquet(path).where("ticker = 'T05'").select("ticker", "ts", "signal", "model_version"), "ts")
+    made = spark.read.parquet(path).where("ticker = 'T05'")
+    value = lambda k: F.get(F.map_values("top_features"), k)
+    out = made.select("ticker", "ts", "signal", "score", "model_version", F.get(F.map_keys("top_features"), 0).alias("first_feature"), value(0).alias("first_value"), value(1).alias("second_value"))
+    return rounded(_ntz(out, "ts"), "score", "first_value", "second_value")
 
 
 def _parquet(spark: SparkSession, df: DataFrame, label: str) -> str:
@@ -166,11 +172,12 @@ def latest_filing(spark, d):
     return filings.latest_filing(A.edgar_facts(spark, d).select("cik", "form_type", "filed_date", "accession_no")).select("cik", "accession_no", "filed_date")
 
 
-@query("guarded_sql")
+@query("guarded_sql", _mart_sql("SELECT ticker, sector, price_to_earnings, debt_to_market_cap, net_income FROM mart WHERE price_to_earnings < 15 AND debt_to_market_cap > 0.5::DOUBLE ORDER BY ticker LIMIT 50"))
 def guarded_sql(spark, d):
     """A question's template SQL, run behind the guard on the screener."""
     screener(spark, d).createOrReplaceTempView("mart_stock_screener")
-    return serve.run_guarded(spark, serve.template_sql("P/E under 1 and debt-to-market-cap above 0") or "")
+    found = serve.run_guarded(spark, serve.template_sql("P/E under 15 and debt-to-market-cap above 0.5") or "")
+    return found.select("ticker", "sector", "price_to_earnings", "debt_to_market_cap", "net_income")
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:

@@ -28,6 +28,7 @@ SYMBOLS = tuple(f"T{k:02d}" for k in range(A.TICKERS))
 SINCE, UNTIL = date(1997, 1, 1), date(1997, 3, 31)
 CUT = datetime(1998, 1, 1)
 WEEK_END = date(2001, 11, 4)
+GROWTH_SECTOR, PROFIT_SECTOR = "EUROPE", "MIDDLE EAST"
 FUNDAMENTALS = ("eps_basic", "net_income", "long_term_debt", "shares_outstanding", "operating_cash_flow", "revenue")
 
 
@@ -310,15 +311,15 @@ def filer_union(spark, d):
 
 
 def _facts_documents(spark, d):
-    """One nested document a company, as the facts service writes them."""
-    f = A.edgar_facts(spark, d)
+    """Nested documents as the facts service writes them: one a company and year of filing, so none grows with the history."""
+    f = A.edgar_facts(spark, d).withColumn("year", F.year("filed_date"))
     concept = F.when(F.col("metric") == C.CASH_FLOW, C.CASH_FLOW_CONCEPT).otherwise(F.col("metric"))
     space = F.when(F.col("metric") == C.SHARES, "dei").otherwise("us-gaap")
     fact = F.struct(F.date_format("period_end", "yyyy-MM-dd").alias("end"), F.col("value").alias("val"), F.date_format("filed_date", "yyyy-MM-dd").alias("filed"), F.col("form_type").alias("form"), F.col("accession_no").alias("accn"))
-    units = f.groupBy("cik", space.alias("space"), concept.alias("concept")).agg(F.collect_list(fact).alias("facts"))
+    units = f.groupBy("cik", "year", space.alias("space"), concept.alias("concept")).agg(F.collect_list(fact).alias("facts"))
     body = F.struct(F.create_map(F.lit("USD"), F.col("facts")).alias("units"))
-    spaces = units.groupBy("cik", "space").agg(F.map_from_entries(F.collect_list(F.struct("concept", body))).alias("concepts"))
-    return spaces.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("space", "concepts"))).alias("facts")).select(F.to_json(F.struct(F.col("cik").cast("bigint").alias("cik"), "facts")).alias("value"))
+    spaces = units.groupBy("cik", "year", "space").agg(F.map_from_entries(F.collect_list(F.struct("concept", body))).alias("concepts"))
+    return spaces.groupBy("cik", "year").agg(F.map_from_entries(F.collect_list(F.struct("space", "concepts"))).alias("facts")).select(F.to_json(F.struct(F.col("cik").cast("bigint").alias("cik"), "facts")).alias("value"))
 
 
 @query("facts_json", with_("facts") + "SELECT cik, metric, value, period_end, filed_date, form_type, accession_no FROM facts WHERE filed_date >= DATE '1997-01-01'")
@@ -329,7 +330,7 @@ def facts_json(spark, d):
 
 @query("submissions_json", with_("facts") + "SELECT accession_no, filed_date AS report_date, form_type, accession_no || '.htm' AS primary_document FROM facts")
 def submissions_json(spark, d):
-    f = A.edgar_facts(spark, d).groupBy("cik").agg(F.sort_array(F.collect_list(F.struct("accession_no", "filed_date", "form_type"))).alias("r"))
+    f = A.edgar_facts(spark, d).groupBy("cik", F.year("filed_date")).agg(F.sort_array(F.collect_list(F.struct("accession_no", "filed_date", "form_type"))).alias("r"))
     names = {"accessionNumber": F.col("r.accession_no"), "reportDate": F.transform("r.filed_date", lambda x: F.date_format(x, "yyyy-MM-dd")), "form": F.col("r.form_type"), "primaryDocument": F.transform("r.accession_no", lambda x: F.concat(x, F.lit(".htm")))}
     doc = f.select(F.to_json(F.struct(F.struct(F.struct(*[c.alias(n) for n, c in names.items()]).alias("recent")).alias("filings"))).alias("value"))
     return filings.parse_submissions(doc)
@@ -339,7 +340,7 @@ def submissions_json(spark, d):
 def concept_json(spark, d):
     f = A.edgar_facts(spark, d).where(F.col("metric") == C.DEBT)
     fact = F.struct(F.date_format("period_end", "yyyy-MM-dd").alias("end"), F.col("value").alias("val"), F.col("form_type").alias("form"), F.col("accession_no").alias("accn"))
-    docs = f.groupBy("cik").agg(F.collect_list(fact).alias("facts")).select(F.to_json(F.struct(F.lit(C.DEBT).alias("tag"), F.create_map(F.lit("USD"), F.col("facts")).alias("units"))).alias("value"))
+    docs = f.groupBy("cik", F.year("filed_date")).agg(F.collect_list(fact).alias("facts")).select(F.to_json(F.struct(F.lit(C.DEBT).alias("tag"), F.create_map(F.lit("USD"), F.col("facts")).alias("units"))).alias("value"))
     return filings.parse_concept(docs).where(C.base_form(F.col("form")) == "10-Q").select("concept", F.col("end").alias("end_date"), "val", "accn")
 
 
@@ -522,9 +523,9 @@ def walk_forward_folds(spark, d):
 # --- analyst questions ------------------------------------------------------
 
 
-@query("screen_value_growth", _mart_sql("SELECT ticker, sector, price_to_earnings, revenue_growth_qoq FROM mart WHERE price_to_earnings < 20 AND revenue_growth_qoq > 0.15::DOUBLE"))
+@query("screen_value_growth", _mart_sql(f"SELECT ticker, sector, price_to_earnings, revenue_growth_qoq FROM mart WHERE price_to_earnings < 20 AND revenue_growth_qoq > 0.15::DOUBLE AND sector = '{GROWTH_SECTOR}'"))
 def screen_value_growth(spark, d):
-    return screens.value_growth(screener(spark, d), None)
+    return screens.value_growth(screener(spark, d), GROWTH_SECTOR)
 
 
 @query("screen_pe_growth", _mart_sql("SELECT ticker, period_end, price_to_earnings, revenue_growth_qoq FROM mart WHERE price_to_earnings < 15 AND revenue_growth_qoq > 0.1::DOUBLE AND period_end >= DATE '1997-01-01'"))
@@ -545,16 +546,16 @@ def sector_beats(spark, d):
 @query(
     "risk_flags",
     _mart_sql(
-        "SELECT ticker, debt_to_market_cap, operating_cash_flow, coalesce(debt_to_market_cap > 0.00001::DOUBLE, false) AS high_leverage, coalesce(operating_cash_flow < 0, false) AS negative_cash_flow, coalesce(debt_to_market_cap > 0.00001::DOUBLE, false) AND coalesce(operating_cash_flow < 0, false) AS flagged FROM mart"
+        "SELECT ticker, debt_to_market_cap, operating_cash_flow, coalesce(debt_to_market_cap > 1, false) AS high_leverage, coalesce(operating_cash_flow < 0, false) AS negative_cash_flow, coalesce(debt_to_market_cap > 1, false) AND coalesce(operating_cash_flow < 0, false) AS flagged FROM mart"
     ),
 )
 def risk_flags(spark, d):
-    return screens.risk_flags(screener(spark, d), 1e-5)
+    return screens.risk_flags(screener(spark, d))
 
 
-@query("screen_small_profitable", _mart_sql("SELECT ticker, sector, net_income, market_cap FROM mart WHERE net_income > 0 AND market_cap < 1e10"))
+@query("screen_small_profitable", _mart_sql(f"SELECT ticker, sector, net_income, market_cap FROM mart WHERE net_income > 0 AND market_cap < 1e10 AND sector = '{PROFIT_SECTOR}'"))
 def screen_small_profitable(spark, d):
-    return screens.small_profitable(screener(spark, d), None)
+    return screens.small_profitable(screener(spark, d), PROFIT_SECTOR)
 
 
 @query("top_sharpe", _mart_sql("SELECT ticker, round(sharpe_30d + 1e-7, 6) AS sharpe_30d FROM mart WHERE sharpe_30d IS NOT NULL ORDER BY mart.sharpe_30d DESC, ticker LIMIT 10"))
@@ -562,9 +563,9 @@ def top_sharpe(spark, d):
     return rounded(screens.top_sharpe(screener(spark, d)), "sharpe_30d")
 
 
-@query("screen_margin", _mart_sql("SELECT ticker, sector, price_to_earnings, net_margin FROM mart WHERE price_to_earnings < 15 AND net_margin > 0.2::DOUBLE"))
+@query("screen_margin", _mart_sql(f"SELECT ticker, sector, price_to_earnings, net_margin FROM mart WHERE price_to_earnings < 15 AND net_margin > 0.2::DOUBLE AND sector = '{PROFIT_SECTOR}'"))
 def screen_margin(spark, d):
-    return screens.margin(screener(spark, d), None)
+    return screens.margin(screener(spark, d), PROFIT_SECTOR)
 
 
 @query(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from datetime import date, datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,15 +48,26 @@ def deduplicated(rows: DataFrame, key: Sequence[str], at: str = "ts", watermark:
     return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, watermark).dropDuplicatesWithinWatermark(list(key))
 
 
-def land(rows: DataFrame, path: str, key: Sequence[str], checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def land(rows: DataFrame, path: str, key: Sequence[str], checkpoint: str, available_now: bool = True, at: str = "ts") -> StreamingQuery:
     """Append a stream to a Parquet table; keys that are there are ignored, so replays change nothing."""
+    return _start(rows.writeStream.foreachBatch(lambda batch, number: append_new(batch, path, key, at)), checkpoint, available_now)
 
-    def write(batch: DataFrame, number: int) -> None:
-        stored = read_or_none(batch.sparkSession, path)
-        fresh = dedupe(batch, key) if stored is None else insert_ignore(batch, stored, key)
-        fresh.write.mode("append").parquet(path)
 
-    return _start(rows.writeStream.foreachBatch(write), checkpoint, available_now)
+def append_new(batch: DataFrame, path: str, key: Sequence[str], at: str = "ts", order: Sequence | None = None) -> None:
+    """Append the rows whose key the table lacks. The table lies by day (column ``_day``, of ``at``).
+
+    Where ``at`` is part of the key, equal keys share a day, so only the days of the batch are read.
+    """
+    batch = batch.withColumn("_day", F.to_date(at))
+    stored = read_or_none(batch.sparkSession, path)
+    if stored is None:
+        fresh = dedupe(batch, key, order)
+    else:
+        if at in key:
+            span = batch.agg(F.min("_day").alias("a"), F.max("_day").alias("b")).first()
+            stored = stored.where(F.col("_day").between(F.lit(span.a), F.lit(span.b)))
+        fresh = insert_ignore(batch, stored, key, order)
+    fresh.write.mode("append").partitionBy("_day").parquet(path)
 
 
 def _start(writer, checkpoint: str, available_now: bool, interval: str = "10 seconds") -> StreamingQuery:
@@ -66,32 +78,59 @@ def _start(writer, checkpoint: str, available_now: bool, interval: str = "10 sec
 _FEATURES = "ticker STRING, ts TIMESTAMP, close DOUBLE, daily_return DOUBLE, ma DOUBLE, vol DOUBLE, n INT"
 
 
-def rolling_features(bars: DataFrame, length: int = 30) -> DataFrame:
+def rolling_features(bars: DataFrame, length: int = 30, idle: str = "30 days", watermark: str = WATERMARK) -> DataFrame:
     """Each bar with its return, mean and deviation over the last ``length`` bars of its ticker.
 
     The state is a ring of length + 1 closes and the time of the last bar; bars that are not
-    newer than it (redeliveries) are left out. Within a micro-batch bars go by time. Equal
-    to the batch windows over the same bars.
+    newer than it (redeliveries) are left out, and a ticker without bars for ``idle`` of event
+    time loses its state. Within a micro-batch bars go by time. Equal to the batch windows
+    over the same bars; a return on a zero close is null.
     """
+    keep = pd.Timedelta(idle).value // 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closes, last = state.get if state.exists else ([], None)
-        closes = list(closes)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ring, last = state.get if state.exists else ([], None)
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        out = []
-        for ts, close in zip(rows["ts"], rows["close"]):
-            at = ts.value
-            if last is not None and at <= last:
-                continue
-            last = at
-            closes = [*closes, float(close)][-(length + 1) :]
-            window = pd.Series(closes[-length:])
-            returns = pd.Series(closes).pct_change().iloc[-min(length, len(closes)) :].dropna()
-            out.append((key[0], ts, close, returns.iloc[-1] if len(closes) > 1 else None, window.mean(), returns.std() if len(returns) > 1 else None, len(window)))
-        state.update((closes, last))
-        yield pd.DataFrame(out, columns=["ticker", "ts", "close", "daily_return", "ma", "vol", "n"])
-
-    return bars.groupBy("ticker").applyInPandasWithState(step, _FEATURES, "closes ARRAY<DOUBLE>, last LONG", "append", GroupStateTimeout.NoTimeout)
+        at = rows["ts"].astype("datetime64[ns]").astype("int64").to_numpy()
+        before = np.concatenate([[np.iinfo(np.int64).min if last is None else last], at[:-1]])
+        rows, at = rows[at > before], at[at > before]
+        if last is not None:
+            rows, at = rows[at > last], at[at > last]
+        if len(rows):
+            new = rows["close"].to_numpy(np.float64)
+            closes = np.concatenate([np.asarray(ring, np.float64), new])
+            yield _rolled(key[0], rows["ts"], closes, len(new), length)
+            ring, last = closes[-(length + 1) :].tolist(), int(at[-1])
+        state.update((list(ring), last))
+        if last is not None:
+            state.setTimeoutTimestamp(max(last // 1_000_000, state.getCurrentWatermarkMs()) + keep)
+
+    timed = bars.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    return timed.groupBy("ticker").applyInPandasWithState(step, _FEATURES, "closes ARRAY<DOUBLE>, last LONG", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _rolled(ticker: str, ts: pd.Series, closes: np.ndarray, new: int, length: int) -> pd.DataFrame:
+    """Features of the last ``new`` closes; those before them are what the ring held."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        returns = np.where(closes[:-1] != 0, closes[1:] / closes[:-1] - 1, np.nan)
+    returns = np.concatenate([[np.nan], returns])
+
+    def windows(values: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(length - 1, np.nan), values]), length)[-new:]
+
+    of_closes, of_returns = windows(closes), windows(returns)
+    n, m = (~np.isnan(of_closes)).sum(axis=1), (~np.isnan(of_returns)).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.nansum(of_returns, axis=1) / m
+        vol = np.sqrt(np.nansum((of_returns - mean[:, None]) ** 2, axis=1) / (m - 1))
+        ma = np.nansum(of_closes, axis=1) / n
+    null = lambda values, ok: pd.Series(values).astype(object).where(pd.Series(ok), None)
+    daily = returns[-new:]
+    columns = {"daily_return": null(daily, ~np.isnan(daily)), "ma": ma, "vol": null(vol, m > 1), "n": n.astype(np.int32)}
+    return pd.DataFrame({"ticker": ticker, "ts": ts.to_numpy(), "close": closes[-new:], **columns})
 
 
 def with_fundamentals(bars: DataFrame, fundamentals: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -125,9 +164,7 @@ def decisions(bars: DataFrame, score: Callable[[DataFrame], DataFrame], path: st
     """Score a stream with a model and append the decisions; a replayed batch adds nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        made = decide(score(batch), **options)
-        stored = read_or_none(batch.sparkSession, path)
-        (dedupe(made, ["ts", "ticker"], [F.col("score")]) if stored is None else insert_ignore(made, stored, ["ts", "ticker"], [F.col("score")])).write.mode("append").parquet(path)
+        append_new(decide(score(batch), **options), path, ["ts", "ticker"], order=[F.col("score")])
 
     return _start(bars.writeStream.foreachBatch(write), checkpoint, available_now)
 
