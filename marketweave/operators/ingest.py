@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import closing
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from marketweave.config import BarConfig
 from marketweave.errors import PermanentError, TransientError
@@ -47,6 +51,8 @@ class StreamSource(Protocol):
 
 
 class StateStore(Protocol):
+    derived: bool  # whether the written table itself is the state
+
     def get_watermarks(self, source: str) -> DataFrame: ...
     def set_watermark(self, source: str, entity: str, value: date) -> None: ...
 
@@ -162,17 +168,56 @@ class TableSink:
 
 
 class JdbcSink:
-    """Appends to a table of a relational database; the driver class must be on the class path."""
+    """Inserts into a table of a relational database, ignoring keys that are there.
+
+    Executors write a staging table; one statement then inserts the rows whose key the target
+    lacks, so a run or task that is repeated adds nothing. A target that doesn't exist is
+    created; text keys are then of ``key_type``, as databases compare no unbounded text.
+    Null keys are equal to none and are inserted each time, as a unique constraint has it.
+    The driver class must be on the class path.
+    """
 
-    def __init__(self, url: str | None, properties: dict[str, str] | None = None):
-        self.url, self.properties = url, properties or {}
+    def __init__(self, url: str | None, properties: dict[str, str] | None = None, key_type: str = "VARCHAR(255)"):
+        self.url, self.properties, self.key_type = url, properties or {}, key_type
 
     def write(self, df: DataFrame, *, table: str, natural_key: Sequence[str]) -> int:
+        """Rows inserted, as the database counts them."""
         if not self.url:
             raise PermanentError("the database's address is not configured")
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.jdbc(self.url, table, "append", self.properties)
-        return seen.get["rows"]
+        staging = f"{table}_staging_{uuid.uuid4().hex[:12]}"
+        texts = ", ".join(f"`{k}` {self.key_type}" for k in natural_key if df.schema[k].dataType == StringType())
+        typed = {"createTableColumnTypes": texts} if texts else {}
+        with closing(self._connect(df.sparkSession, table)) as connection:
+            quote = lambda name: self._dialect(df.sparkSession).quoteIdentifier(name)
+            names = ", ".join(quote(c) for c in df.columns)
+            same = " AND ".join(f"t.{quote(k)} = s.{quote(k)}" for k in natural_key)
+            try:
+                df.limit(0).write.options(**typed).jdbc(self.url, table, "append", self.properties)
+                dedupe(df, natural_key).write.options(**typed).jdbc(self.url, staging, "overwrite", self.properties)
+                missing = f"SELECT {names} FROM {staging} s WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE {same})"
+                return self._run(connection, f"INSERT INTO {table} ({names}) {missing}")
+            finally:
+                self._drop(connection, staging)
+
+    def _dialect(self, spark: SparkSession):
+        return spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.url)
+
+    def _connect(self, spark: SparkSession, table: str):
+        """A connection of the driver's own, by the same driver class as Spark's writer."""
+        jvm = spark._jvm
+        options = jvm.org.apache.spark.sql.execution.datasources.jdbc.JDBCOptions(self.url, table, jvm.PythonUtils.toScalaMap(self.properties))
+        return self._dialect(spark).createConnectionFactory(options).apply(-1)
+
+    @staticmethod
+    def _run(connection, sql: str) -> int:
+        with closing(connection.createStatement()) as statement:
+            return statement.executeUpdate(sql)
+
+    def _drop(self, connection, staging: str) -> None:
+        try:
+            self._run(connection, f"DROP TABLE {staging}")
+        except Py4JJavaError as error:  # it may never have been made; the write's own error must not be hidden
+            logger.warning("%s stays or was never made: %s", staging, error.java_exception.getMessage())
 
 
 class ListSink:
@@ -201,6 +246,7 @@ class LandingState:
     """Watermarks are what the landing table holds; writing it advances them."""
 
     EMPTY = "symbol STRING, max_date DATE"
+    derived = True
 
     def __init__(self, spark: SparkSession, path: str | None):
         self.spark, self.path = spark, path
@@ -217,6 +263,8 @@ class LandingState:
 
 
 class MemoryState:
+    derived = False
+
     def __init__(self, spark: SparkSession, marks: dict[str, date] | None = None):
         self.spark, self.marks = spark, dict(marks or {})
 
@@ -260,15 +308,18 @@ class BarPipeline:
 
     def run(self, symbols: Sequence[str], end: date | None = None) -> int:
         """Rows written."""
-        run_date = datetime.now(UTC).date()
-        end, written, batches = end or run_date, 0, 0
-        for start, group in self.plan(symbols, end):
-            for frame in self.source.fetch(FetchRequest(tuple(group), start, end, self.config.interval)):
-                stamped = stamp(frame, run_date, datetime.now(UTC))
-                written += self.sink.write(stamped, table=self.config.table, natural_key=list(self.source.schema.natural_key))
-                for r in watermarks(frame).collect():
-                    self.state.set_watermark(self.SOURCE, r.symbol, r.max_date)
-                batches += 1
-                self.sleep(self.config.sleep_seconds)
-        logger.info("%s up to %s: %d batches, %d rows", self.config.table, end, batches, written)
-        return written
+        today = datetime.now(UTC).date()
+        until = end or today
+        requests = [FetchRequest(tuple(named), start, until, self.config.interval) for start, named in self.plan(symbols, until)]
+        counts = [self._store(frame, today) for request in requests for frame in self.source.fetch(request)]
+        logger.info("%s: %d rows in %d batches before %s", self.config.table, sum(counts), len(counts), until)
+        return sum(counts)
+
+    def _store(self, frame: DataFrame, run_date: date) -> int:
+        """Write one batch, then move the marks; a state that is derived from the written table needs no look at the batch."""
+        rows = self.sink.write(stamp(frame, run_date, datetime.now(UTC)), table=self.config.table, natural_key=list(self.source.schema.natural_key))
+        if not self.state.derived:
+            for mark in watermarks(frame).collect():  # a row for each symbol of the batch
+                self.state.set_watermark(self.SOURCE, mark.symbol, mark.max_date)
+        self.sleep(self.config.sleep_seconds)
+        return rows

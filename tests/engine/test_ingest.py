@@ -172,12 +172,16 @@ def test_append_and_insert_ignore(spark, tmp_path):
             bad.write(df, table="t", natural_key=["symbol"])
 
 
-def test_relational_round_trip(spark):
-    url = "jdbc:derby:memory:marketweave;create=true"
-    sink = ingest.JdbcSink(url, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
-    df = spark.createDataFrame([("A", 1.5)], "symbol string, price double")
-    assert [sink.write(df, table="bars", natural_key=["symbol"]) for _ in range(2)] == [1, 1]
-    assert bars.read_jdbc(spark, url, "bars", sink.properties).count() == 2
+def test_relational_write_ignores_keys_that_are_there(spark):
+    sink = ingest.JdbcSink("jdbc:derby:memory:marketweave;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    make = lambda *rows: spark.createDataFrame(list(rows), "symbol string, date date, price double")
+    first, again = make(("A", TODAY, 1.5), ("B", TODAY, 2.5)), make(("A", TODAY, 9.0), ("A", TODAY + timedelta(days=1), 3.5), ("C", TODAY, 4.5), ("C", TODAY, 4.5))
+    key = ["symbol", "date"]
+    assert [sink.write(df, table="bars", natural_key=key) for df in (first, first, again, again, first.limit(0))] == [2, 0, 2, 0, 0]
+    stored = sorted((r.symbol, r.price) for r in bars.read_jdbc(spark, sink.url, "bars", sink.properties).collect())
+    assert stored == [("A", 1.5), ("A", 3.5), ("B", 2.5), ("C", 4.5)]
+    left = bars.read_jdbc(spark, sink.url, "SYS.SYSTABLES", sink.properties).where("TABLENAME like '%STAGING%'")
+    assert left.count() == 0
 
 
 def test_prune_keeps_recent_and_unloaded(spark):
