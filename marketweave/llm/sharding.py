@@ -72,18 +72,28 @@ def lookup(spark: SparkSession, names: Sequence[str], slots: int | None = None)
 
 
 def place(df: DataFrame, key: str, names: Sequence[str], slots: int | None = None) -> DataFrame:
-    """df with columns slot (long) and shard (int): a map-side join with the table."""
-    if clash := {"slot", "shard"} & set(df.columns):
-        raise ValueError(f"input columns clash with the result's: {sorted(clash)}")
+    """df with columns slot (long) and shard (int): a map-side join with the table.
+
+    Input columns of these names, in any case, keep their values as input_slot and input_shard
+    (with one more input_ while such a name is taken too).
+    """
     size = slots or next_prime(SLOTS_PER_SHARD * len(names))
-    keyed = df.withColumn("slot", md5_long(F.coalesce(F.col(key).cast("string"), F.lit(""))) % size)
+    wanted = md5_long(F.coalesce(F.col(key).cast("string"), F.lit(""))) % size
+    taken = {c.lower() for c in df.columns}
+    kept = []
+    for name in df.columns:
+        alias = name
+        while alias.lower() in ("slot", "shard") or alias != name and alias.lower() in taken:
+            alias = f"input_{alias}"
+        kept.append(F.col(f"`{name}`").alias(alias))
+    keyed = df.select(wanted.alias("slot"), *kept)
     return keyed.join(F.broadcast(lookup(df.sparkSession, names, size)), "slot", "left")
 
 
 def write_shards(df: DataFrame, key: str, names: Sequence[str], path: str, files_per_shard: int = 1) -> None:
     """Write df partitioned by shard; rows of a hot key spread over files_per_shard tasks."""
     placed = place(df, key, names)
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in placed.columns]), F.lit(files_per_shard))
     placed.repartition(len(names) * files_per_shard, "shard", spread).drop("slot").write.partitionBy("shard").parquet(path)
 
 

@@ -36,8 +36,11 @@ def test_place_nulls_repeats_empty_and_clashes(spark):
     for r in rows:
         assert r.slot == S._hash("" if r.doc_id is None else str(r.doc_id)) % size and r.shard == owner[r.slot]
     assert S.place(df.limit(0), "doc_id", S.shard_names(3)).count() == 0
-    with pytest.raises(ValueError):
-        S.place(df.withColumnRenamed("extra", "slot"), "doc_id", S.shard_names(3))
+    clash = df.select("doc_id", df.extra.alias("Slot"), df.extra.alias("shard"), df.extra.alias("input_Slot"))
+    same = S.place(clash, "doc_id", S.shard_names(3))
+    assert set(same.columns) == {"doc_id", "slot", "shard", "input_input_Slot", "input_shard", "input_Slot"}
+    assert sorted((r.slot, r.shard) for r in same.collect()) == sorted((r.slot, r.shard) for r in rows)
+    assert {r.input_shard for r in same.collect()} == {"x", "y", "z", None}
 
 
 def test_plan_is_native_and_without_shuffle(spark):
