@@ -143,11 +143,18 @@ def with_fundamentals(bars: DataFrame, fundamentals: Callable[[], DataFrame], wr
 
 
 def with_sentiment(bars: DataFrame, news: DataFrame, before: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """Each bar with the news of its ticker in the time before it: an interval join with bounded state."""
-    left = bars.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).alias("b")
-    right = news.select(F.col("ticker").alias("news_ticker"), F.col("ts").cast("timestamp").alias("news_ts"), "sentiment", "intensity").withWatermark("news_ts", watermark).alias("n")
-    near = F.expr(f"b.ticker = n.news_ticker AND n.news_ts <= b.ts AND n.news_ts > b.ts - INTERVAL {before}")
-    return left.join(right, near, "inner").drop("news_ticker")
+    """Each bar with the news of its ticker in the time before it: an interval join with bounded state.
+
+    A key of ticker alone would compare each bar with all news that the ticker has in the state. So time is cut into
+    spans as long as ``before``: a bar has one span, news have their own and the next, which makes a pair meet once.
+    """
+    length = pd.Timedelta(before).value // 1000
+    span = lambda at: F.expr(f"(unix_micros({at}) - pmod(unix_micros({at}), {length}L)) div {length}L")
+    left = bars.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).withColumn("_span", span("ts")).alias("b")
+    right = news.select(F.col("ticker").alias("news_ticker"), F.col("ts").cast("timestamp").alias("news_ts"), "sentiment", "intensity").withWatermark("news_ts", watermark)
+    right = right.select("*", F.explode(F.array(span("news_ts"), span("news_ts") + 1)).alias("news_span")).alias("n")
+    near = F.expr(f"b.ticker = n.news_ticker AND b._span = n.news_span AND n.news_ts <= b.ts AND n.news_ts > b.ts - INTERVAL {before}")
+    return left.join(right, near, "inner").drop("news_ticker", "news_span", "_span")
 
 
 def decide(rows: DataFrame, score: str = "score", sigma: float = 1.0, threshold: float = 0.5, version: str = "0", attributions: Sequence[str] = (), top: int = 3) -> DataFrame:

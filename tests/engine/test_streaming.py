@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -75,6 +76,23 @@ def test_sliding_windows_and_interval_join(spark, tmp_path):
     assert joined.where("news_ts > ts or news_ts <= ts - interval 10 minutes").count() == 0 and joined.count() > 0
 
 
+def test_interval_join_compares_within_spans_of_time(spark, tmp_path):
+    old = datetime(1969, 12, 31, 23, 50)  # spans before 1970 too
+    b = [(t, at + timedelta(minutes=k), 1.0) for t in ("T0", "T1") for at in (old, START) for k in range(0, 45, 3)]
+    n = [(t, at + timedelta(seconds=s), f"{t}{s}", 0.5) for t in ("T0", "T2") for at in (old, START) for k in range(-15, 45, 2) for s in (60 * k, 60 * k + 1, 60 * k + 59)]
+    left, right = spark.createDataFrame(b, "ticker string, ts timestamp, close double"), spark.createDataFrame(n, "ticker string, ts timestamp, sentiment string, intensity double")
+    want = sorted((x[0], x[1], y[1], y[2]) for x in b for y in n if x[0] == y[0] and x[1] - timedelta(minutes=10) < y[1] <= x[1])
+    joined = flows.with_sentiment(left, right, "10 minutes")
+    assert joined.columns == ["ticker", "ts", "close", "news_ts", "sentiment", "intensity"]
+    assert want and sorted((r.ticker, r.ts, r.news_ts, r.sentiment) for r in joined.collect()) == want
+    assert re.search(r"Join \[ticker#\d+, _span#\d+L\]", joined._jdf.queryExecution().executedPlan().toString())  # not all news of a ticker with all its bars
+    for df, name in ((left, "left"), (right, "right")):
+        df.write.parquet(str(tmp_path / name))
+    read = lambda df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    out = drain(flows.with_sentiment(read(left, "left"), read(right, "right"), "10 minutes"), "span_out", tmp_path)
+    assert sorted((r.ticker, r.ts, r.news_ts, r.sentiment) for r in out.where("ts > '2000-01-01'").collect()) == [w for w in want if w[1].year > 2000]
+
+
 def test_decisions_with_static_side(spark, tmp_path):
     b, path, seen = bars.minute_bars(ticks(spark, 60)), str(tmp_path / "decisions"), []
     static = spark.createDataFrame([("T0", 5.0)], "ticker string, eps double")
