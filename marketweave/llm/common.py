@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,18 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df.stored_at)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it, what runs (not what is only planned) hands Python at most about ``size`` bytes in an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def open_store(uri: str):
     """(file system, path) through pyarrow, for reading and writing files from tasks."""
     from pyarrow import fs

@@ -60,7 +60,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from marketweave.llm.common import discard, lower_words, stored, table
+from marketweave.llm.common import discard, lower_words, short_batches, stored, table
 
 BITS = 64
 RADIUS = 2
@@ -72,13 +72,14 @@ BLOCK = 65_536
 
 WORDS = 5
 SIMILARITY = 0.8
-MISS = 0.1  # chance that a pair at the very similarity shares no segment
+MISS = 0.05  # chance that a pair at the very similarity shares no segment
 RATIO = 0.25  # of a chain's bits may differ: well above what similar sets differ in, well below a half
 LEAST_SEGMENT, MOST_SEGMENT = 12, 40
 FEW_SHINGLES = 64  # below so many, a set's bits stray too far from their chances for a closer limit than RATIO
 BROADCAST_BYTES = 64 << 20
 PAIRED = 32  # sets under one segment up to which those left apart are compared as rows, else in blocks
 BLOCK_SETS = 256
+BATCH_BYTES = 2 << 20  # of texts in an Arrow batch, as the JVM and the Python worker both hold it whole
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -374,9 +375,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, grams_of: Callable[[DataFrame],
 def set_links(sets: DataFrame, grams_of: Callable[[DataFrame], DataFrame], shape: Layout) -> DataFrame:
     """Rows (u, v), u < v, of similar sets; every similar pair that shares a segment is connected by them."""
     keyed = _segments(sets, shape)
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "word")).alias("least")).where("size > 1")
-    sized = keyed.join(buckets, "key").where("sid <> least.sid").withColumn("star", _within_ring(F.col("word"), F.col("least.word"), F.col("key"), shape))
-    sized = stored(sized.where("star or size > 2").select("key", "sid", "word", "size", F.col("least.sid").alias("rep"), "star"), "simhash-segments")
+    # the smallest set's sid and word apart, not as a struct: longs alone are aggregated in hash maps, without sorting every segment of every set
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("rep"), F.min_by("word", "sid").alias("rep_word")).where("size > 1")
+    sized = keyed.join(buckets, "key").where("sid <> rep").withColumn("star", _within_ring(F.col("word"), F.col("rep_word"), F.col("key"), shape))
+    sized = stored(sized.where("star or size > 2").select("key", "sid", "word", "size", "rep", "star"), "simhash-segments")
     star = sized.where("star")
     near = stored(_close(star.select(F.col("rep").alias("u"), F.col("sid").alias("v")).distinct(), sets, shape), "simhash-star")
     nearest = near.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
@@ -464,6 +466,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one last, then the smallest text hash ``mark``.
     """
     shape = layout(docs.count(), similarity, miss)
+    with short_batches(docs.sparkSession, BATCH_BYTES):
+        return _grouped(docs, shape, doc_id, text, shingle)
+
+
+def _grouped(docs: DataFrame, shape: Layout, doc_id: str, text: str, shingle: int) -> DataFrame:
     prints = stored(sketches(docs, shape, doc_id, text, shingle), "simhash-sets")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")).alias("best")
     sets = stored(prints.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), best), "simhash-distinct")

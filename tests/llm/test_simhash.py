@@ -231,6 +231,16 @@ def test_layout_keeps_its_recall_at_every_size():
         assert 1 - (1 - agree**shape.bits) ** (shape.per * shape.words) >= 0.95 and shape.bits >= min(np.log2(n), 40)
 
 
+def test_texts_go_to_python_in_short_batches(spark, monkeypatch):
+    name, seen, stored = "spark.sql.execution.arrow.maxBytesPerBatch", [], S.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(S, "stored", lambda df, label: (seen.append((label, spark.conf.get(name))), stored(df, label))[1])
+    df = spark.createDataFrame(near_copies(9, 4, 3, 2), "doc_id long, text string")
+    assert S.similar_groups(df).count() == 12
+    assert {"simhash-sets", "simhash-grams"} <= {label for label, _ in seen} and {size for _, size in seen} == {str(S.BATCH_BYTES)}
+    assert spark.conf.get(name) == before
+
+
 def test_long_text_sketch():
     text = " ".join(f"w{i}" for i in range(100_000)).encode()
     s = S.shingle_set(text)
