@@ -39,7 +39,7 @@ of the whole fingerprint, and last the shingle sets themselves are compared. So
 all links are true ones; a pair is missed only if no segment agrees.
 
 There each segment's sets are first linked to their smallest one (a star, not all
-pairs; of a set's stars only the nearest is compared by its shingles), which joins nearly every
+pairs; a set's stars are compared by their shingles nearest first, in rounds, so that most need no comparison), which joins nearly every
 large group. Only what is then in another component than the most frequent one of its segment is compared with all of the
 segment's other members, in blocks where they are many, so that no pair of a large group becomes a row. (Among texts that are
 all just below the similarity, these comparisons grow with the square of their number.) Texts without words are one set; texts that differ in
@@ -56,7 +56,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -77,8 +77,10 @@ RATIO = 0.25  # of a chain's bits may differ: well above what similar sets diffe
 LEAST_SEGMENT, MOST_SEGMENT = 12, 40
 FEW_SHINGLES = 64  # below so many, a set's bits stray too far from their chances for a closer limit than RATIO
 BROADCAST_BYTES = 64 << 20
+STAR_ROUNDS = 2  # in which each set's nearest star is compared, before other pairs of a segment are looked at
 PAIRED = 32  # sets under one segment up to which those left apart are compared as rows, else in blocks
 BLOCK_SETS = 256
+SIZE_STEPS = 8  # of a set's size, as a segment's row holds it, to the factor 1 / similarity
 BATCH_BYTES = 2 << 20  # of texts in an Arrow batch, as the JVM and the Python worker both hold it whole
 
 
@@ -330,25 +332,38 @@ def text_mark(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
 
-def _within_ring(a: Column, b: Column, key: Column, shape: Layout) -> Column:
-    """Chains from the key's segment round its ring differ in at most RATIO of their bits, at each length."""
-    diff, start = a.bitwiseXOR(b), F.shiftright(key, shape.bits) % shape.per
-    signed = lambda m: m if m < 1 << 63 else m - (1 << 64)
-    out = F.lit(True)
+def _within_ring(a: Column, b: Column, shape: Layout) -> Column:
+    """Whether words of ``_segments`` may be of similar sets: sizes and, round the ring from the segment, the chains of each length allow it."""
+    low, diff = F.lit((1 << shape.bits) - 1), a.bitwiseXOR(b)
+    out = F.abs(a.bitwiseAND(low) - b.bitwiseAND(low)) <= SIZE_STEPS + 1
     for length in range(2, shape.per + 1):
-        masks = [sum(((1 << shape.bits) - 1) << ((s + k) % shape.per * shape.bits) for k in range(length)) for s in range(shape.per)]
-        mask = reduce(lambda acc, s: acc.when(start == s, F.lit(signed(masks[s]))), range(1, shape.per), F.when(start == 0, F.lit(signed(masks[0]))))
-        out = out & (F.bit_count(diff.bitwiseAND(mask)) <= int(RATIO * shape.bits * length))
+        mask = (1 << shape.bits * length) - (1 << shape.bits)
+        out = out & (F.bit_count(diff.bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64)))) <= int(RATIO * shape.bits * length))
     return out
 
 
 def _segments(sets: DataFrame, shape: Layout) -> DataFrame:
-    """Rows (key, sid, word): each set under each segment of its fingerprint, with the ring the segment is on."""
-    mask = F.lit((1 << shape.bits) - 1 if shape.bits < 64 else -1)
-    words = sets.select("sid", F.posexplode("fp").alias("w", "word"))
-    table = lambda j: F.shiftleft((F.col("w") * shape.per + j).cast("long"), shape.bits)
-    keys = F.array(*[table(j).bitwiseOR(F.shiftrightunsigned("word", j * shape.bits).bitwiseAND(mask)) for j in range(shape.per)])
-    return words.select(F.explode(keys).alias("key"), "sid", "word")
+    """Rows (key, sid, word): each set under each segment of its fingerprint.
+
+    word: the segment's ring, turned so that the segment comes first. As the key has the segment's own bits, the set's size
+    takes their place, in steps of which SIZE_STEPS are the factor 1 / similarity; so unlike sizes part before whole fingerprints are fetched.
+    """
+    own, ring = (1 << shape.bits) - 1, (1 << shape.bits * shape.per) - 1
+    step = max(-math.log(shape.similarity), 0.05) / SIZE_STEPS  # a longer step only lets more pass, and so does the largest size
+    size = F.least(F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / step).cast("long"), F.lit(own))
+    words = sets.select("sid", size.alias("size"), F.posexplode("fp").alias("w", "word"))
+    rest = F.lit((ring ^ own) if ring < 1 << 63 else (ring ^ own) - (1 << 64))
+
+    def placed(j: int) -> Column:
+        at = j * shape.bits
+        table = F.shiftleft((F.col("w") * shape.per + j).cast("long"), shape.bits)
+        turned = F.shiftrightunsigned("word", at)
+        if j:
+            turned = turned.bitwiseAND(F.lit(ring >> at)).bitwiseOR(F.shiftleft("word", shape.bits * shape.per - at))
+        key = table.bitwiseOR(turned.bitwiseAND(F.lit(own)))
+        return F.struct(key.alias("key"), turned.bitwiseAND(rest).bitwiseOR(F.col("size")).alias("word"))
+
+    return words.select("sid", F.inline(F.array(*[placed(j) for j in range(shape.per)]))).select("key", "sid", "word")
 
 
 def _close(pairs: DataFrame, sets: DataFrame, shape: Layout) -> DataFrame:
@@ -372,35 +387,55 @@ def _similar(pairs: DataFrame, sets: DataFrame, grams_of: Callable[[DataFrame],
     return pairs.join(side("u"), "u").join(side("v"), "v").where(enough).select("u", "v")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v, far) whose sets are in different components."""
+    root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
+    both = pairs.join(root("u", "ru"), "u", "left").join(root("v", "rv"), "v", "left")
+    return both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "far")
+
+
+def _nearest_first(pairs: DataFrame, roots: DataFrame | None, sets: DataFrame, grams_of: Callable[[DataFrame], DataFrame], shape: Layout) -> tuple[DataFrame, DataFrame]:
+    """(roots, left): components after each set's nearest pair is compared, and the pairs (u, v, far) that this leaves apart and uncompared."""
+    sides = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    nearest = pairs.select("far", F.inline(sides)).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    nearest = stored(nearest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "simhash-nearest")
+    links = _similar(nearest, sets, grams_of, shape)
+    if roots is not None:
+        links = links.unionByName(_as_links(roots))
+    roots = components(links)
+    return roots, stored(_apart(pairs.join(nearest, ["u", "v"], "left_anti"), roots), "simhash-left")
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("u"), F.col("node").alias("v"))
+
+
 def set_links(sets: DataFrame, grams_of: Callable[[DataFrame], DataFrame], shape: Layout) -> DataFrame:
-    """Rows (u, v), u < v, of similar sets; every similar pair that shares a segment is connected by them."""
+    """Rows (u, v) that connect similar sets, and no others: every similar pair that shares a segment."""
     keyed = _segments(sets, shape)
-    # the smallest set's sid and word apart, not as a struct: longs alone are aggregated in hash maps, without sorting every segment of every set
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("rep"), F.min_by("word", "sid").alias("rep_word")).where("size > 1")
-    sized = keyed.join(buckets, "key").where("sid <> rep").withColumn("star", _within_ring(F.col("word"), F.col("rep_word"), F.col("key"), shape))
+    # one exchange of all segments: a count and a join by it would move each of them twice
+    bucket = Window.partitionBy("key")
+    first_of = [F.count(F.lit(1)).over(bucket).alias("size"), F.min("sid").over(bucket).alias("rep"), F.min_by("word", "sid").over(bucket).alias("rep_word")]
+    sized = keyed.select("key", "sid", "word", *first_of).where("size > 1 and sid <> rep").withColumn("star", _within_ring(F.col("word"), F.col("rep_word"), shape))
     sized = stored(sized.where("star or size > 2").select("key", "sid", "word", "size", "rep", "star"), "simhash-segments")
-    star = sized.where("star")
-    near = stored(_close(star.select(F.col("rep").alias("u"), F.col("sid").alias("v")).distinct(), sets, shape), "simhash-star")
-    nearest = near.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v")
-    first = stored(_similar(nearest, sets, grams_of, shape), "simhash-first")
-    roots = components(first)
-    root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
+    star = sized.where("star").select(F.least("rep", "sid").alias("u"), F.greatest("rep", "sid").alias("v")).distinct()
+    roots, left = None, stored(_close(star, sets, shape), "simhash-star")
+    for _ in range(STAR_ROUNDS):
+        roots, left = _nearest_first(left, roots, sets, grams_of, shape)
     # what the stars left apart: other components of a segment against all its members
-    held = sized.where("size > 2").join(root("sid", "root"), "sid", "left").select("key", "sid", "word", F.coalesce("root", "sid").alias("root"))
-    held = stored(held, "simhash-held")
+    held = sized.where("size > 2").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "word", F.coalesce("root", "sid").alias("root"))
+    counted = held.repartition("key").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "root")))
+    whole = [F.max("n").over(bucket).alias("most"), F.max_by("root", F.struct("n", "root")).over(bucket).alias("main"), F.count(F.lit(1)).over(bucket).alias("all")]
+    mixed = stored(counted.select("key", "sid", "word", "root", *whole).where("most < all"), "simhash-mixed")
     discard(sized)
-    counts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
-    mixed = stored(held.join(counts.where("most < all"), "key"), "simhash-mixed")
-    discard(held)
     others = mixed.where("root <> main").select("key", F.col("sid").alias("a"), F.col("word").alias("wa"), F.col("root").alias("ra"))
     members = mixed.where(F.col("all") <= PAIRED).select("key", F.col("sid").alias("b"), F.col("word").alias("wb"), F.col("root").alias("rb"), "main")
     apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-    cross = others.join(members, "key").where(apart & _within_ring(F.col("wa"), F.col("wb"), F.col("key"), shape))
-    cross = _close(cross.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), sets, shape).select("u", "v")
-    left = near.join(nearest, ["u", "v"], "left_anti").join(root("u", "ru"), "u", "left").join(root("v", "rv"), "v", "left")
-    left = left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    more = _similar(stored(cross.unionByName(left).distinct(), "simhash-more"), sets, grams_of, shape)
-    return first.unionByName(more).unionByName(_blocks(mixed.where(F.col("all") > PAIRED), sets, grams_of, shape))
+    cross = others.join(members, "key").where(apart & _within_ring(F.col("wa"), F.col("wb"), shape))
+    cross = _close(cross.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), sets, shape)
+    roots, left = _nearest_first(stored(cross.unionByName(left).distinct(), "simhash-more"), roots, sets, grams_of, shape)
+    more = _similar(left.select("u", "v"), sets, grams_of, shape)
+    return _as_links(roots).unionByName(more).unionByName(_blocks(mixed.where(F.col("all") > PAIRED), sets, grams_of, shape))
 
 
 def _blocks(mixed: DataFrame, sets: DataFrame, grams_of: Callable[[DataFrame], DataFrame], shape: Layout) -> DataFrame:

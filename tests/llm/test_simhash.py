@@ -246,3 +246,42 @@ def test_long_text_sketch():
     s = S.shingle_set(text)
     assert len(s) == 99_996 and len(S.wide_fingerprint(s, 3)) == 3
     assert S.shingle_set(b"a b").tolist() == S.shingle_set(b"A\tb").tolist() and len(S.shingle_set(b"a b")) == 1 and len(S.shingle_set(None)) == 0
+
+
+def test_each_segment_moves_once(spark, monkeypatch):
+    seen, stored = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, label: (seen.setdefault(label, df._jdf.queryExecution().executedPlan().toString()), stored(df, label))[1])
+    held_against_slow(spark, near_copies(9, 4, 3, 2), 0.95)
+    plan = seen["simhash-segments"]
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "Join" not in plan
+    assert "Join" not in seen["simhash-mixed"].split("Exchange hashpartitioning(key")[0]
+
+
+def test_segment_words_tell_sizes_and_rings_apart(spark):
+    rnd = random.Random(12)
+    for shape in (S.Layout(16, 4, 2, 0.8), S.Layout(18, 3, 2, 0.8), S.Layout(40, 1, 2, 0.8), S.Layout(32, 2, 2, 0.5)):
+        used = shape.bits * shape.per
+        rows = []
+        for i in range(60):  # each with a partner that has some other bits and another size
+            fp, n = [rnd.getrandbits(64) for _ in range(2)], rnd.choice([0, 1, 5, 100, 10**4, 10**9])
+            near = [f ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(1, 5))) for f in fp]
+            rows += [(2 * i, n, fp), (2 * i + 1, int(n * rnd.choice([0.3, shape.similarity, 0.9, 1])) if n > 1 else n, near)]
+        signed = [(i, n, [int(np.uint64(f % 2**64).astype(np.int64)) for f in fp]) for i, n, fp in rows]
+        got = S._segments(spark.createDataFrame(signed, "sid long, n long, fp array<long>"), shape)
+        a, b = (got.selectExpr("key", "sid as s" + x, "word as w" + x) for x in "ab")
+        pairs = a.join(b, "key").where("sa % 2 = 0 and sb = sa + 1").select("key", "sa", S._within_ring(S.F.col("wa"), S.F.col("wb"), shape).alias("ok")).collect()
+        of, keys = {i: (n, fp) for i, n, fp in rows}, {(r.key, r.sa): r.ok for r in pairs}
+        for i in range(60):
+            (n, fp), (m, near) = of[2 * i], of[2 * i + 1]
+            for t in range(2 * shape.per):
+                w, j = divmod(t, shape.per)
+                ring = lambda f: [f[w] >> (j * shape.bits + k) % used & 1 for k in range(used)]  # noqa: B023, E731
+                x, y = ring(fp), ring(near)
+                key = t << shape.bits | sum(v << k for k, v in enumerate(x[: shape.bits]))
+                ok = keys.get((key, 2 * i))
+                assert (ok is not None) == (x[: shape.bits] == y[: shape.bits])
+                if ok is not None:
+                    chains = all(sum(p != q for p, q in zip(x[: shape.bits * k], y[: shape.bits * k])) <= int(S.RATIO * shape.bits * k) for k in range(2, shape.per + 1))
+                    sized = min(n, m) >= shape.similarity * max(n, m) - 1e-9
+                    assert ok or not (chains and sized)
+                    assert not ok or chains and min(n, m) >= 0.9 * shape.similarity * max(n, m) - 1
